@@ -30,7 +30,9 @@ ORDERS = (3, 5)
 PAD = 2  # boundary characters before and after each text
 SPAN = 12  # characters of a coverage window
 # strength of the windows that exclude a field, in nats, and the share a notice must cover
-LIMITS = {"slot": 4.0, "filler": 10.0, "cover": 0.4, "notice": 7.0}
+# (a dummy value that is the whole of a short field has few characters to prove itself by)
+SHORT = 12
+LIMITS = {"slot": 4.0, "filler": 12.5, "dummy": 8.5, "cover": 0.55, "notice": 8.0}
 # the exact check behind a slot window: paired placeholder marks around a name
 SLOT = re.compile(r"\{\{[^{}]+\}\}|[$#]\{[^{}]+\}|<%=?[^%]+%>|\{%[^%]+%\}|\[\[[^\[\]]+\]\]|<<[^<>]+>>|%%[^%\n]+%%|@@[^@\n]+@@|(?<!\w)__[A-Za-z][\w. ]*?__|\[[A-Za-z][A-Za-z_. ]*\]|\{[A-Za-z_.]+\}")
 
@@ -138,7 +140,7 @@ def judge(texts: list[str], t: dict[str, list[np.ndarray]], limits: dict[str, fl
     score["cover"] = covered(llr["notice"], starts, ends)
     out = np.zeros(len(texts), int)
     out[(score["notice"] > limits["notice"]) & (score["cover"] > limits["cover"])] = 3
-    out[score["filler"] > limits["filler"]] = 2
+    out[score["filler"] > np.where(ends - starts <= SHORT + PAD, limits["dummy"], limits["filler"])] = 2
     for i in np.flatnonzero(score["slot"] > limits["slot"]):
         if SLOT.search(texts[i]):
             out[i] = 1
@@ -148,13 +150,24 @@ def judge(texts: list[str], t: dict[str, list[np.ndarray]], limits: dict[str, fl
 BATCH_BYTES = 1 << 21
 
 
-def find(df: DataFrame, id_col: str, text_col: str, source: str, limits: dict[str, float] = LIMITS) -> DataFrame:
-    """(source_table, field_name, row_id, kind): the values of a field that are residue, with its class."""
+def unnamed(text: str, name: str | None) -> str:
+    """`text` without the name of the site, which proves nothing; a text of nothing else stays."""
+    if not name or len(name) < 3:
+        return text
+    bare = re.sub(re.escape(name), " ", text, flags=re.IGNORECASE)
+    return bare if bare.strip(" -|:\n") else text
+
+
+def find(df: DataFrame, id_col: str, text_col: str, source: str, name_col: str | None = None, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """(source_table, field_name, row_id, kind): the values of a field that are residue, with its class.
+
+    name_col: column with the name of the site, which is left out of account where the text repeats it.
+    """
     t = tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = [unnamed(s, n) for s, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             at, kinds, part, size = [], [], [], 0
             for i, s in enumerate(texts):  # slices of bounded size keep the arrays small
                 part.append(i)
@@ -168,6 +181,6 @@ def find(df: DataFrame, id_col: str, text_col: str, source: str, limits: dict[st
             yield pa.RecordBatch.from_arrays([pc.take(b.column(0), pa.array(at, pa.int64())), pa.array(kinds, pa.string())], names=["row_id", "kind"])
 
     c = F.col(text_col)
-    rows = df.where(c.isNotNull() & c.rlike(r"\S") & (F.lower(F.trim(c)) != "nan")).select(F.col(id_col).cast("long").alias("row_id"), c.cast("string").alias("text"))
+    rows = df.where(c.isNotNull() & c.rlike(r"\S") & (F.lower(F.trim(c)) != "nan")).select(F.col(id_col).cast("long").alias("row_id"), c.cast("string").alias("text"), (F.col(name_col) if name_col else F.lit(None)).cast("string").alias("name"))
     got = rows.mapInArrow(run, "row_id long, kind string")
     return got.select(F.lit(source).alias("source_table"), F.lit(text_col).alias("field_name"), "row_id", "kind")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, residue
-from millrace.session import table
+from millrace.llm import boilerplate, encode, mixing, residue
+from millrace.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +38,25 @@ def p5_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _residue(spark, sf_dir).groupBy("source_table", "field_name", "kind").agg(F.count("*").alias("n_values"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_body": p2_body, "p5_found": p5_found, "p5_by_kind": p5_by_kind}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # encoding is dear and the sizes are needed for the plan and for the sample: they are kept in the shared folder
+    return cut(encode.token_counts(table(spark, sf_dir, "documents").where("source is not null"), "doc_id", "text", ["source"]))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document taken into every mix, with its number of uses."""
+    return mixing.sample(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached beside the targets."""
+    return mixing.shares(*mixing.sample(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_body": p2_body, "p5_found": p5_found, "p5_by_kind": p5_by_kind, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, encode, mixing, residue
+from millrace.llm import boilerplate, encode, mixing, pii, residue
 from millrace.session import cut, table
 
 
@@ -58,5 +58,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*mixing.sample(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_body": p2_body, "p5_found": p5_found, "p5_by_kind": p5_by_kind, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct piece of personal information of every document."""
+    return pii.find(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return pii.redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_body": p2_body, "p5_found": p5_found, "p5_by_kind": p5_by_kind, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, encode, mixing, pii, residue
+from millrace.llm import boilerplate, canon, encode, mixing, pii, residue
+from millrace.operators import packed
 from millrace.session import cut, table
 
 
@@ -38,6 +39,24 @@ def p5_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _residue(spark, sf_dir).groupBy("source_table", "field_name", "kind").agg(F.count("*").alias("n_values"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bank or category every typed value means, -1 for none of the list."""
+    info = table(spark, sf_dir, "extracted_product_info_v2").select("extract_id", "bank_partner_specific")
+    names = [(r[0], r[1]) for r in table(spark, sf_dir, "matched_names").select("partnername", "idrssd").collect()]
+    items = packed.split(info, "extract_id", ["bank_partner_specific"], packed.fit(info, ["bank_partner_specific"]))
+    banks = canon.resolve(items, "item", canon.bank_entries(names), canon.bank_form, [n for n, _ in names if n])
+    master = table(spark, sf_dir, "fintech_timelines_master").select("row_id", "product_subcategory")
+    listed = [tuple(r) for r in table(spark, sf_dir, "subcategory_list").select("product_subcategory", "subcategory_id", "also_called").collect()]
+    kinds = canon.resolve(master, "product_subcategory", canon.category_entries(listed), canon.category_form, [r[0] for r in listed if r[0]])
+    one = banks.select("field_name", F.col("extract_id").alias("row_id"), "item_no", "canonical_id")
+    return one.unionByName(kinds.select(F.lit("product_subcategory").alias("field_name"), "row_id", F.lit(1).alias("item_no"), "canonical_id"))
+
+
+def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many typed values of each field mean none of the list."""
+    return p7_found(spark, sf_dir).groupBy("field_name").agg(F.count("*").alias("n_cases"), F.count_if(F.col("canonical_id") == -1).alias("n_unmatched"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -68,5 +87,5 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_body": p2_body, "p5_found": p5_found, "p5_by_kind": p5_by_kind, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p7_found": p7_found, "p7_unmatched": p7_unmatched, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_body": p2_body, "p5_found": p5_found, "p5_by_kind": p5_by_kind, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import boilerplate, canon, encode, mixing, pii, residue
+from millrace.llm import boilerplate, canon, encode, mixing, names, pii, residue
 from millrace.operators import packed
 from millrace.session import cut, table
 
@@ -39,6 +39,25 @@ def p5_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _residue(spark, sf_dir).groupBy("source_table", "field_name", "kind").agg(F.count("*").alias("n_values"))
 
 
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info, master = table(spark, sf_dir, "extracted_product_info_v2"), table(spark, sf_dir, "fintech_timelines_master")
+    one = info.select(F.lit("company").alias("kind"), F.col("company").alias("name"))
+    one = one.unionByName(info.select(F.lit("product").alias("kind"), F.col("product_name").alias("name")))
+    one = one.unionByName(master.where("entry_type = 'Product'").select(F.lit("product").alias("kind"), F.col("product_name").alias("name")))
+    return names.attribute(one.where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("freq")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of different spellings of one company or product."""
+    return names.pairs(_roots(spark, sf_dir))
+
+
+def p6_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the canonical spelling it is attached to and the number of spellings of its entity."""
+    roots = _roots(spark, sf_dir)
+    return roots.join(roots.groupBy("kind", "root").agg(F.count("*").alias("n_spellings")), ["kind", "root"]).select("kind", "name", F.col("root").alias("canonical"), "n_spellings")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bank or category every typed value means, -1 for none of the list."""
     info = table(spark, sf_dir, "extracted_product_info_v2").select("extract_id", "bank_partner_specific")
@@ -87,5 +106,5 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_found": p7_found, "p7_unmatched": p7_unmatched, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_body": p2_body, "p5_found": p5_found, "p5_by_kind": p5_by_kind, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p6_found": p6_found, "p6_spellings": p6_spellings, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p10_found": p10_found, "p10_redacted": p10_redacted, "p2_found": p2_found, "p2_body": p2_body, "p5_found": p5_found, "p5_by_kind": p5_by_kind, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}

@@ -1,0 +1,13 @@
+"""Personal information in lines without digit, '@' and capital."""
+
+from millrace.llm import pii
+
+
+def test_lines_of_small_letters_are_decoded():
+    text = "It works.\nping maribeth-morhurst [at] pemima [dot] invalid if you had the same problem\nwrite to joram.halgard at pema dot test or text us, thx"
+    got = pii.Finder(pii.train()).pieces([text])[0]
+    assert [(text[a:b], kind) for a, b, kind in got] == [("maribeth-morhurst [at] pemima [dot] invalid", "email"), ("joram.halgard at pema dot test", "email")]
+
+
+def test_blank_lines_have_no_pieces():
+    assert pii.Finder(pii.train()).pieces(["", None, " \n\n\t"]) == [[], [], []]

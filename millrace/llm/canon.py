@@ -1,16 +1,20 @@
 """Free-entered values mapped to a canonical list by a prefix-filter set-similarity join.
 
-Values and list entries become sets of character trigrams. Trigrams are ordered by global rarity over all
-distinct values and entries; only the rarest ones that two sets with Jaccard similarity `least` must
-share (the prefixes) are joined, then length and position filters and the exact Jaccard similarity
-follow. Of the verified entries the nearest is kept if few enough slips lead from the value to it.
+Values and list entries become sets of character trigrams. A slip takes at most SPAN trigrams from a set,
+so the allowed slips give the overlap that two sets must have. Trigrams are ordered by global rarity over
+all distinct values and entries; only the rarest ones of which two such sets must share one (the prefixes)
+are joined, then length, position and overlap filters and the exact count of slips follow. Entries with
+too few trigrams for such a bound are compared with every value as poor. Of the verified entries the one
+with fewest slips is kept, by Jaccard similarity where several have as few. A value with capitals inside
+its words is also tried with these not parted.
 
 The list is a reference list of bounded size and goes to the workers whole; values are made distinct
 first, so a value that many rows share is matched once. What reaches the driver beside the list are the
 counts of trigrams, of which the folded alphabet has at most 38^3.
 
 Defined cases: null and blank values are no cases; a value no entry is near enough to gets -1, as does
-one that is equally near to entries of different ids; an empty list matches nothing.
+one that is equally near to entries of different ids; an empty list matches nothing; forms of fewer than
+four letters (as 'CD') hold no slip, since a third or more of their letters would be open.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST = 0.3
+SPAN = 4  # trigrams that two swapped letters are in; other slips change fewer
 
 
 def plain(s: str) -> str:
@@ -34,6 +38,11 @@ def plain(s: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9]+", " ", s.encode("ascii", "ignore").decode()).split())
 
 
+def unparted(s: str) -> str:
+    """`s` with the capitals inside its words made small, so that plain() does not part it there."""
+    return re.sub(r"(?<=[a-z])[A-Z]+", lambda m: m[0].lower(), s)
+
+
 # fixed texts: abbreviations of the words banks are named with
 BANK_WORDS = {"natl": "national", "nat": "national", "sav": "savings", "svgs": "savings", "saving": "savings", "st": "state", "comml": "commercial", "coml": "commercial", "comm": "community", "cmnty": "community", "cmty": "community", "tr": "trust", "co": "company", "cos": "company", "bk": "bank", "bnk": "bank", "fed": "federal", "fedl": "federal", "bancorp": "bank"}
 KIND_WORDS = frozenset("bank trust company and national state savings federal commercial community".split())
@@ -123,51 +132,53 @@ class Index:
 
     entries: list[tuple[str, int]]
     rarity: dict[str, int]
-    least: float = LEAST
 
     def __post_init__(self) -> None:
         self.sets = [self.ordered(f) for f, _ in self.entries]
         self.post: dict[str, list[tuple[int, int]]] = {}
         for n, s in enumerate(self.sets):
-            for p, g in enumerate(s[: self.prefix(len(s))]):
+            for p, g in enumerate(s[: self.prefix(self.entries[n][0])]):
                 self.post.setdefault(g, []).append((n, p))
+        # entries that may share no trigram with a value within the allowed slips
+        self.poor = [n for n, s in enumerate(self.sets) if len(s) < self.prefix(self.entries[n][0])]
 
     def ordered(self, form: str) -> list[str]:
         return sorted(trigrams(form), key=lambda g: (self.rarity.get(g, 0), g))
 
-    def prefix(self, n: int) -> int:
-        need = -int(-self.least * n // 1)  # overlap that the least similarity asks for, rounded up
-        return n - need + 1
+    def prefix(self, form: str) -> int:
+        """Trigrams of which one at least outlasts the allowed slips."""
+        return SPAN * allowed(form) + 1
 
-    def similar(self, form: str) -> list[tuple[float, int]]:
-        """(Jaccard similarity, entry) of all entries with at least the least similarity."""
-        s = self.ordered(form)
-        n, seen, out = len(s), set(), []
-        have = set(s)
-        for p, g in enumerate(s[: self.prefix(n)]):
+    def similar(self, form: str) -> list[tuple[float, int, int]]:
+        """(Jaccard similarity, slips, entry) of all entries within the slips allowed to both forms."""
+        s, own, length = self.ordered(form), allowed(form), len(form)
+        n, have, seen, near = len(s), set(s), set(), []
+        for p, g in enumerate(s[: self.prefix(form)]):
             for e, q in self.post.get(g, ()):
                 if e in seen:
                     continue
                 seen.add(e)
-                m = len(self.sets[e])
-                if not self.least * n <= m <= n / self.least:
-                    continue
-                # position filter: what can still be shared from here on
-                if 1 + min(n - p, m - q) - 1 < self.least / (1 + self.least) * (n + m) - min(p, q):
-                    continue
-                both = len(have.intersection(self.sets[e]))
-                if both >= self.least * (n + m - both):
-                    out.append((both / (n + m - both), e))
+                f, m = self.entries[e][0], len(self.sets[e])
+                most = min(own, allowed(f))
+                # length and position filters: what can still be shared from here on
+                if abs(length - len(f)) <= most and min(n - p, m - q) >= max(n, m) - SPAN * most:
+                    near.append(e)
+        if n < self.prefix(form):
+            near += [e for e in self.poor if e not in seen]
+        out = []
+        for e in near:
+            f, m = self.entries[e][0], len(self.sets[e])
+            most, both = min(own, allowed(f)), len(have.intersection(self.sets[e]))
+            if both >= max(n, m) - SPAN * most and (d := slips(form, f, most)) <= most:
+                out.append((both / (n + m - both), d, e))
         return out
 
-    def best(self, form: str) -> int:
-        """Id of the nearest entry within the allowed slips, -1 if there is none or several ids are as near."""
-        most = allowed(form)
+    def best(self, *forms: str) -> int:
+        """Id of the entry nearest to one of the forms, -1 if there is none or several ids are as near."""
         got: dict[int, tuple[int, float]] = {}
-        for sim, e in self.similar(form):
-            f, ident = self.entries[e]
-            d = slips(form, f, min(most, allowed(f)))
-            if d <= min(most, allowed(f)):
+        for form in dict.fromkeys(forms):
+            for sim, d, e in self.similar(form):
+                ident = self.entries[e][1]
                 got[ident] = min(got.get(ident, (99, 0.0)), (d, -sim))
         if not got:
             return -1
@@ -197,7 +208,7 @@ def category_entries(rows: list[tuple[str, int, str | None]]) -> list[tuple[str,
     return sorted(out)
 
 
-def match(values: DataFrame, value_col: str, entries: list[tuple[str, int]], form: Callable[[str], str], least: float = LEAST) -> DataFrame:
+def match(values: DataFrame, value_col: str, entries: list[tuple[str, int]], form: Callable[[str], str]) -> DataFrame:
     """(value, canonical_id) for every distinct non-blank value."""
     distinct = values.where(F.col(value_col).rlike(r"\S")).select(F.col(value_col).alias("value")).distinct()
 
@@ -205,25 +216,26 @@ def match(values: DataFrame, value_col: str, entries: list[tuple[str, int]], for
         n: Counter[str] = Counter()
         for b in batches:
             for v in b.column(0).to_pylist():
-                n.update(trigrams(form(v)))
+                for f in {form(v), form(unparted(v))}:
+                    n.update(trigrams(f))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["g", "n"])
 
     rarity = Counter({r.g: r.n for r in distinct.mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()})
     for f, _ in entries:
         rarity.update(trigrams(f))
-    index = distinct.sparkSession.sparkContext.broadcast((entries, dict(rarity), least))
+    index = distinct.sparkSession.sparkContext.broadcast((entries, dict(rarity)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = Index(*index.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ix.best(form(v)) for v in b.column(0).to_pylist()], pa.int64())], names=["value", "canonical_id"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ix.best(form(v), form(unparted(v))) for v in b.column(0).to_pylist()], pa.int64())], names=["value", "canonical_id"])
 
     return distinct.mapInArrow(run, "value string, canonical_id long")
 
 
-def resolve(cases: DataFrame, value_col: str, entries: list[tuple[str, int]], form: Callable[[str], str], exact: list[str], least: float = LEAST) -> DataFrame:
+def resolve(cases: DataFrame, value_col: str, entries: list[tuple[str, int]], form: Callable[[str], str], exact: list[str]) -> DataFrame:
     """`cases` with canonical_id, for every non-blank value that is not spelled exactly like a list entry."""
     known = cases.sparkSession.createDataFrame([(x,) for x in sorted(set(exact))] or [("",)], "known string")
     open_ = cases.where(F.col(value_col).rlike(r"\S")).join(F.broadcast(known), F.col(value_col) == F.col("known"), "left_anti")
-    got = match(open_, value_col, entries, form, least)
+    got = match(open_, value_col, entries, form)
     return open_.join(got, F.col(value_col) == F.col("value")).drop("value")

@@ -3,10 +3,12 @@
 Words and word pairs score positive or negative with weights fitted on labelled lines (logistic
 regression); tags are gone from these texts, so line ends and separators stand in for them. One linear
 scan then finds the maximal runs of positive score that nowhere fall by more than `drop`; what lies in
-such a run is body. In a text with line breaks the scan steps by lines, in a flattened one by words.
+such a run is body. A flattened text is cut by words instead, into the stretches of body and furniture
+whose scores, less the costs of the turns between them, sum to the most.
 
 Defined cases: a null text has a null body and no lines; an empty text has an empty body; blank lines
-are counted and belong to neither side; a line without any known word is body; texts are read whole.
+are counted and belong to neither side; a line or flattened text
+without any known word is body; texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import labelled_pages
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|#|[^\w\s]")
+TURN, WORD_BIAS = (1.0, 2.0, 4.0), 0.05  # cost of a turn where a line may have ended, before a capital or number, and elsewhere
 MEMO_LINES = 400_000  # bound of the per-worker memo of scored lines; a full memo starts anew
 
 
@@ -128,27 +131,52 @@ def runs(scores: list[float], drop: float) -> list[tuple[int, int]]:
     return out
 
 
-def word_scores(words: list[str], w: dict[str, float]) -> list[float]:
-    """Score of each word: its own weight and half of those of the pairs it is in."""
-    out = [w.get(x, 0.0) for x in words]
-    for i, (a, b) in enumerate(zip(words, words[1:])):
-        p = w.get(f"{a} {b}", 0.0) / 2
-        out[i] += p
-        out[i + 1] += p
+def turn_costs(text: str, spans: list[tuple[int, int]]) -> list[float]:
+    """What it costs to turn between body and furniture before each word: least where a line is likely to have ended."""
+    out = [0.0]
+    for (a, b), (c, d) in zip(spans, spans[1:]):
+        if text[b - 1] in ".?!" or text[b:c] != " " or not text[c:d][0].isalnum():
+            out.append(TURN[0])
+        else:
+            out.append(TURN[1] if text[c].isupper() or text[c].isdigit() else TURN[2])
     return out
 
 
-def flat_body(text: str, w: dict[str, float], drop: float = 4.0) -> str:
-    """Body of a text without line breaks: it is cut behind sentences and where it turns to or from furniture."""
-    spans = [m for m in re.finditer(r"\S+", text)]
-    scores = [sum(word_scores(tokens(normal(m[0])), w)) for m in spans]
-    for i in range(len(spans) - 1):
-        a, b = tokens(normal(spans[i][0])), tokens(normal(spans[i + 1][0]))
-        if a and b:
-            p = w.get(f"{a[-1]} {b[0]}", 0.0) / 2
-            scores[i] += p
-            scores[i + 1] += p
-    return " ".join(text[spans[a].start() : spans[b - 1].end()] for a, b in runs(scores, drop) if sum(scores[a:b]) > 1.0)
+def flat_body(text: str, w: dict[str, float], bias: float = WORD_BIAS) -> str:
+    """Body of a text without line breaks: the best cut of all its words into stretches of body and of furniture.
+
+    A stretch has the log odds of a line, with the features of its first word, its words and its pairs; each
+    word adds `bias`, so words without known weight go with the body beside them, or are body alone.
+    """
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    if not spans:
+        return ""
+    get, repair = w.get, w.repair if isinstance(w, Weights) else str
+    words = [[repair(x) for x in tokens(normal(text[a:b]))] for a, b in spans]
+    costs = turn_costs(text, spans)
+    body = furniture = 0.0
+    back: list[tuple[bool, bool]] = []  # whether the best way to (body, furniture) here comes from body
+    last = ""
+    for i, ws in enumerate(words):
+        s = bias + sum(get(x, 0.0) for x in ws) + sum(get(f"{x} {y}", 0.0) for x, y in zip(ws, ws[1:]))
+        first = get(f"^ {ws[0]}", 0.0) if ws else 0.0
+        pair = get(f"{last} {ws[0]}", 0.0) if ws and last else 0.0
+        stay_b, to_b = body + pair / 2, furniture - costs[i] + first / 2
+        stay_f, to_f = furniture - pair / 2, body - costs[i] - first / 2
+        if i == 0:
+            stay_b, to_b, stay_f, to_f = first / 2, first / 2, -first / 2, -first / 2
+        back.append((stay_b >= to_b, to_f > stay_f))
+        body, furniture = max(stay_b, to_b) + s / 2, max(stay_f, to_f) - s / 2
+        last = ws[-1] if ws else last
+    inside, parts, end = body >= furniture, [], len(spans)
+    for i in range(len(spans) - 1, -1, -1):
+        before = back[i][0] if inside else back[i][1]
+        if i == 0 or before != inside:
+            if inside:
+                parts.append(text[spans[i][0] : spans[end - 1][1]])
+            end = i
+        inside = before
+    return " ".join(reversed(parts))
 
 
 class Scorer:

@@ -1,0 +1,21 @@
+"""Bodies of texts without line breaks."""
+
+from millrace.llm import boilerplate
+
+
+def test_unknown_names_at_the_edges_stay():
+    w = boilerplate.weights()
+    body = "Drusile Dobru Financial is not a bank. Banking services are provided by Kradodrato Vuhipa"
+    assert boilerplate.flat_body(body, w) == body
+    got = boilerplate.flat_body("Careers | Press | Pricing | Support | Legal " + body, w)
+    assert got == body
+
+
+def test_text_without_known_words_is_body():
+    w = boilerplate.weights()
+    assert boilerplate.flat_body("Drusile Dobru Zzqivo", w) == "Drusile Dobru Zzqivo"
+    assert boilerplate.flat_body("", w) == boilerplate.flat_body("  ", w) == ""
+
+
+def test_furniture_alone_has_no_body():
+    assert boilerplate.flat_body("Careers | Press | Pricing | Support | Legal", boilerplate.weights()) == ""

@@ -2,16 +2,21 @@
 
 `ingest` enforces a target schema: approved fields become typed columns, everything unknown or
 uncastable is kept as JSON in `_rescued`. `replay` promotes further fields from `_rescued` later, without
-reading the files again. `report` compares each file with the file of its feed one quarter earlier.
+reading the files again; `by_item` brings the fields of one item, under whatever name, into one column.
+`report` compares each file with the file of its feed one quarter earlier.
 
 Defined cases: a feed without a file for the quarter before has no changes reported for that file; a
 file without loadable values has fields without type, which do not count as type changes; a name that
 a header repeats counts once, its first non-blank value being kept; where several gone and several new
-fields carry one item they are paired in name order and the rest is removed or added.
+fields carry one item they are paired in name order and the rest is removed or added; where a record has
+several fields of one item, the item's column has the first in name order that is not null.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +70,12 @@ def ingest(raw: DataFrame, target: dict[str, str]) -> DataFrame:
 
 def _promote(one: DataFrame, target: dict[str, str]) -> DataFrame:
     typed = [_cast(F.try_element_at("_m", F.lit(f)), k).alias(f) for f, k in target.items()]
-    done = F.array(F.lit(ID), *[F.when(_cast(F.try_element_at("_m", F.lit(f)), k).isNotNull(), F.lit(f)) for f, k in target.items()])
-    left = F.map_filter("_m", lambda k, v: ~F.array_contains(F.array_compact(done), k))
+    by_kind: dict[str, list[str]] = {}
+    for f, k in target.items():
+        by_kind.setdefault(k, []).append(f)
+    # the cast is asked of each value once, not of every field in every record
+    done = lambda k, v: reduce(lambda a, b: a | b, [k.isin(names) & _cast(v, kind).isNotNull() for kind, names in by_kind.items()], k == ID)
+    left = F.map_filter("_m", lambda k, v: ~done(k, v))
     kept = [c for c in one.columns if c not in ("_m", *target)]
     return one.select(*kept, *typed, F.when(F.size(left) > 0, F.to_json(left)).alias("_rescued"))
 
@@ -76,6 +85,21 @@ def replay(table: DataFrame, more: dict[str, str]) -> DataFrame:
     return _promote(table.withColumn("_m", F.from_json(F.coalesce("_rescued", F.lit("{}")), "map<string,string>")).drop("_rescued"), more)
 
 
+def item_fields(items: DataFrame) -> dict[str, list[str]]:
+    """Column name of each item -> its fields in name order; items: (field_name, item), a list of bounded size."""
+    rows = items.where("item is not null").groupBy(F.upper(F.trim("field_name")).alias("field")).agg(F.min("item").alias("item")).where("field <> ''").collect()
+    out: dict[str, list[str]] = {}
+    for field, item in sorted((r.field, r["item"]) for r in rows):
+        out.setdefault(re.sub(r"\W+", "_", item.strip().lower()), []).append(field)
+    return out
+
+
+def by_item(table: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """`table` with one column for each item, from its fields' typed columns; `_rescued` stays last."""
+    one = [F.coalesce(*[F.col(f"`{f}`") for f in names]).alias(item) for item, names in fields.items()]
+    return table.select(*[F.col(f"`{c}`") for c in table.columns if c != "_rescued"], *one, "_rescued")
+
+
 def profile(raw: DataFrame) -> DataFrame:
     """(feed, q, file_name, field, kind): the type of every field of every file, over its rescued values.
 

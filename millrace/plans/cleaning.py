@@ -45,9 +45,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All loadable Schedule RC records as one table; total assets enforced, securities replayed from the rescue."""
-    one = drift.ingest(table(spark, sf_dir, "rc_raw"), {"RCFD2170": "long", "RCON2170": "long"})
-    return drift.replay(one, {"RCFD1754": "long", "RCFDJJ34": "long", "RCFD1350": "long", "RCFD2143": "double"})
+    """All loadable Schedule RC records as one table; total assets enforced, the other listed fields replayed from the rescue, and one column for each item."""
+    fields = drift.item_fields(table(spark, sf_dir, "rc_items"))
+    enforced = ["RCFD2170", "RCON2170"]
+    # amounts drift between whole numbers and decimals
+    one = drift.ingest(table(spark, sf_dir, "rc_raw"), {f: "double" for f in enforced})
+    one = drift.replay(one, {f: "double" for f in sorted(f for names in fields.values() for f in names) if f not in enforced})
+    return drift.by_item(one, fields)
 
 
 QUERIES = {"p1_found": p1_found, "p1_delimiters": p1_delimiters, "p3_found": p3_found, "p3_loaded_timeline": p3_loaded_timeline, "p4_found": p4_found, "p4_table": p4_table}

@@ -1,5 +1,5 @@
 """Registered queries, by topic."""
 
-from millrace.plans import cleaning
+from millrace.plans import cleaning, panels
 
-MODULES = [cleaning]
+MODULES = [cleaning, panels]

@@ -1,0 +1,24 @@
+"""The flagship query against its SQL, over whole tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as e
+from millrace.session import build_session
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return build_session("local[2]", 2)
+
+
+def test_panel_equals_its_sql(spark):
+    got = e.entry(spark)
+    db = duckdb.connect()
+    for t in ("orders", "customer"):
+        db.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = db.execute(e.oracle_sql()["entity_period_panel"])
+    assert got.columns == [d[0] for d in want.description]
+    key = lambda r: (r[0], r[1], str(r[-1]))
+    have, rows = sorted(map(tuple, got.collect()), key=key), sorted(want.fetchall(), key=key)
+    assert have == rows and rows

@@ -164,11 +164,16 @@ def stands_for(v: list[str], c: list[str], shared: frozenset[str]) -> bool:
     return True
 
 
+def common(toks: list[str], shared: frozenset[str]) -> bool:
+    """Whether a name has only shared or short words."""
+    return not any(w not in STOP and w not in shared and len(w) > 2 for w in toks)
+
+
 def keys(toks: list[str], shared: frozenset[str]) -> list[str]:
-    """Keys under which a spelling meets others: its rare words, with and without any one letter, pairs of words and the whole."""
+    """Keys under which a spelling meets others: its rare words (all words, if none is rare), with and without any one letter, pairs of words and the whole."""
     out: set[str] = set()
     bits = [w for w in toks if w not in STOP]
-    rare = [w for w in bits if w not in shared and len(w) > 2]
+    rare = [w for w in bits if w not in shared and len(w) > 2] or bits
     for w in [*rare, *(a + b for a, b in zip(rare, rare[1:]))]:
         out.add(w)
         if len(w) > 3:
@@ -224,7 +229,25 @@ def attribute(names: DataFrame) -> DataFrame:
     # a key that a single spelling has joins nothing; only ids and keys go through the join
     thin = one.select("kind", "key", "name", "freq")
     a = thin.alias("v").join(thin.alias("c"), ["kind", "key"]).where((F.col("v.freq") < F.col("c.freq")) | ((F.col("v.freq") == F.col("c.freq")) & ((F.length("v.name") < F.length("c.name")) | ((F.length("v.name") == F.length("c.name")) & (F.col("v.name") > F.col("c.name"))))))
-    pairs = a.select("kind", F.col("v.name").alias("name"), F.col("c.name").alias("cand"), F.col("c.freq").alias("cfreq")).distinct()
+    pairs = a.select("kind", F.col("v.name").alias("name"), F.col("c.name").alias("cand"), F.col("c.freq").alias("cfreq"))
+
+    # a name without rare word meets every name that has one of its words; two others do not meet so
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, at, ws, only = b.column(0).to_pylist(), [], [], []
+            for i, t in enumerate(b.column(3).to_pylist()):
+                bits = sorted({w for w in t if w not in STOP})
+                at += [i] * len(bits)
+                ws += bits
+                only += [common(t, shared.value.get(kinds[i], frozenset()))] * len(bits)
+            took = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns[:3], pa.array(ws, pa.string()), pa.array(only, pa.bool_())], names=["kind", "name", "freq", "w", "common"])
+
+    by_word = toks.mapInArrow(worded, "kind string, name string, freq long, w string, common boolean")
+    met = by_word.where("common").alias("g").join(by_word.alias("o"), ["kind", "w"]).where(F.col("g.name") != F.col("o.name"))
+    g_first = (F.col("g.freq") < F.col("o.freq")) | ((F.col("g.freq") == F.col("o.freq")) & ((F.length("g.name") < F.length("o.name")) | ((F.length("g.name") == F.length("o.name")) & (F.col("g.name") > F.col("o.name")))))
+    met = met.select("kind", *[F.when(g_first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(n) for x, y, c, n in (("g", "o", "name", "name"), ("o", "g", "name", "cand"), ("o", "g", "freq", "cfreq"))])
+    pairs = pairs.unionByName(met).distinct()
     full = pairs.join(toks.select("kind", "name", "toks"), ["kind", "name"]).join(toks.select("kind", F.col("name").alias("cand"), F.col("toks").alias("ctoks")), ["kind", "cand"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +273,8 @@ def attribute(names: DataFrame) -> DataFrame:
             at, ks = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 w = next((x for x in t if x not in STOP), None)
-                if w and len(w) > 3:
-                    k = {w, *(w[:j] + w[j + 1 :] for j in range(len(w)))}
+                if w:
+                    k = {w, *(w[:j] + w[j + 1 :] for j in range(len(w) if len(w) > 3 else 0))}
                     at += [i] * len(k)
                     ks += sorted(k)
             took = b.take(pa.array(at, pa.int64()))

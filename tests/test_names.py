@@ -1,0 +1,22 @@
+"""Names of shared or short words only meet their variants."""
+
+import pytest
+
+from millrace.llm import names
+from millrace.session import build_session
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return build_session("local[2]", 2)
+
+
+def test_name_without_rare_word_meets_its_slip(spark):
+    rows = [("product", "Business Checking", 40), ("product", "Busines Checking", 1), ("product", "Zorvim Tarnel Savings", 30), ("company", "Q2 Financial", 30), ("company", "Q2 Finnancial", 1)]
+    # names that make the type words shared
+    rows += [("product", f"{w} {t}", 5) for w in "Abavo Ebeko Idisu Ofomu Ugupa Akelo Emiri Onasa Upeta Arivo".split() for t in ("Business Checking",)]
+    rows += [("company", f"{w} Financial", 5) for w in "Abavo Ebeko Idisu Ofomu Ugupa Akelo Emiri Onasa Upeta Arivo".split()]
+    got = {(r.kind, r["name"]): r.root for r in names.attribute(spark.createDataFrame(rows, "kind string, name string, freq long")).collect()}
+    assert got["product", "Busines Checking"] == "Business Checking"
+    assert got["company", "Q2 Finnancial"] == "Q2 Financial"
+    assert got["product", "Abavo Business Checking"] == "Abavo Business Checking"

@@ -34,7 +34,7 @@ SPAN = 12  # characters of a coverage window
 SHORT = 12
 LIMITS = {"slot": 4.0, "filler": 12.5, "dummy": 8.5, "cover": 0.55, "notice": 8.0}
 # the exact check behind a slot window: paired placeholder marks around a name
-SLOT = re.compile(r"\{\{[^{}]+\}\}|[$#]\{[^{}]+\}|<%=?[^%]+%>|\{%[^%]+%\}|\[\[[^\[\]]+\]\]|<<[^<>]+>>|%%[^%\n]+%%|@@[^@\n]+@@|(?<!\w)__[A-Za-z][\w. ]*?__|\[[A-Za-z][A-Za-z_. ]*\]|\{[A-Za-z_.]+\}")
+SLOT = re.compile(r"\{\{[^{}]+\}\}|[$#]\{[^{}]+\}|<%=?[^%]+%>|\{%[^%]+%\}|\[\[[^\[\]]+\]\]|<<[^<>]+>>|%%[^%\n]+%%|@@[^@\n]+@@|(?<!\w)__[_.]*[A-Za-z][\w. ]*?__|\[[A-Za-z_.][A-Za-z0-9_. ]*\]|\{[A-Za-z_.][A-Za-z0-9_.]*\}|\$[A-Za-z_.][A-Za-z0-9_.]*\$")
 
 
 def _codes() -> np.ndarray:

@@ -1,0 +1,15 @@
+"""The check behind a slot window covers every form the model is trained on, and digits in names."""
+
+from millrace.llm import labelled_residue, residue
+
+
+def test_every_form_passes_the_check():
+    for form in labelled_residue.SLOT_FORMS:
+        for name in [*labelled_residue.SLOT_NAMES, "rate2", "RATE_1", "_fee"]:
+            assert residue.SLOT.search(form % name), form % name
+    assert residue.SLOT.search("[RATE 1]")
+
+
+def test_slots_in_fields_are_found():
+    got, _ = residue.judge(["$apr$", "{rate2}", "[RATE 1]", "$5 to $25,000", "4.25% APY"], residue.tables())
+    assert got.tolist() == [1, 1, 1, 0, 0]

@@ -41,7 +41,7 @@ def quarter_end(code: Column) -> Column:
     return F.try_to_date(F.concat(year, F.substring(code, 1, 4)), "yyyyMMdd")
 
 
-def _rescue(names: Column, values: Column) -> Column:
+def rescue(names: Column, values: Column) -> Column:
     """Map of field to its non-blank value; unnamed columns are left out, the first of repeated names stays."""
     pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p: (p["k"] != "") & (p["v"] != ""))
     first = F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, p: F.when(F.exists(acc, lambda a: a["k"] == p["k"]), acc).otherwise(F.array_append(acc, F.struct(p["k"].alias("k"), p["v"].alias("v")))))
@@ -63,7 +63,7 @@ def ingest(raw: DataFrame, target: dict[str, str]) -> DataFrame:
     null; unknown fields and uncastable values are kept in `_rescued` (JSON, null when empty).
     """
     files = raw.where("line_no = 0").groupBy("file_name").agg(F.min("feed").alias("feed"), F.min("quarter_code").alias("quarter_code"))
-    one = records.loaded(raw, "\t", ID).withColumn("_m", _rescue(F.col("names"), F.col("values"))).drop("names", "values")
+    one = records.loaded(raw, "\t", ID).withColumn("_m", rescue(F.col("names"), F.col("values"))).drop("names", "values")
     one = one.join(files, "file_name", "left").select("feed", "file_name", quarter_end(F.col("quarter_code")).alias("quarter_end"), "record_id", F.element_at("_m", ID).try_cast("long").alias("idrssd"), "_m")
     return _promote(one, target)
 

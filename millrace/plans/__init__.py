@@ -1,5 +1,5 @@
 """Registered queries, by topic."""
 
-from millrace.plans import cleaning, panels
+from millrace.plans import cleaning, curation, entities, panels, regulatory, stats, temporal, texts, web
 
-MODULES = [cleaning, panels]
+MODULES = [cleaning, panels, curation, temporal, regulatory, stats, texts, web, entities]

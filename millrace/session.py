@@ -18,6 +18,7 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "mil
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("MILLRACE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -29,10 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder of the cluster; a temporary one only on a local master without setting.
+
+    On a cluster a folder of one machine would be lost with it, so an unset folder is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return found or ""
 

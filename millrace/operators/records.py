@@ -20,6 +20,8 @@ import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import small_side
+
 BROKEN, COUNT, VALUE = "broken_quote", "column_count", "invalid_value"
 # key column -> patterns (RE2) that a valid and an invalid bare key match
 KEYS = {
@@ -43,8 +45,8 @@ def header_names(line: Column, sep: str) -> Column:
 def with_headers(raw: DataFrame, sep: str, key: str) -> DataFrame:
     """Records (line_no above 0) beside the names, column count and key position of their file's header.
 
-    The header side has one row per file; the join is left to the optimizer and to skew handling, as a
-    file may hold any share of the records.
+    The header side has one row per file and is written once; where it is small it is broadcast, so that the
+    records are not shuffled on a key of which one value may hold any share of them.
     """
     head = (
         raw.where("line_no = 0")
@@ -54,7 +56,7 @@ def with_headers(raw: DataFrame, sep: str, key: str) -> DataFrame:
         .withColumn("n_cols", F.size("names"))
         .withColumn("key_pos", F.array_position("names", key).cast("int"))
     )
-    return raw.where("line_no > 0 or line_no is null").join(head, "file_name", "left")
+    return raw.where("line_no > 0 or line_no is null").join(small_side(head), "file_name", "left")
 
 
 def _one_shape(ids: pa.Array, lines: pa.Array, n_cols: int, sep: str) -> tuple[dict[int, int], pa.Table | None]:
@@ -146,6 +148,32 @@ def parse(raw: DataFrame, sep: str, key: str, keep_values: bool = False) -> Data
     return prepared.mapInArrow(parser(sep, key, keep_values), schema)
 
 
+def failing_cells(raw: DataFrame, sep: str, key: str, kinds: dict[str, str], source: str) -> DataFrame:
+    """(source_table, record_id, field_name, value, wanted): the cells of loading records that do not cast to the kind of their field.
+
+    kinds: field name, or '*' for all others but the key -> 'integer' or 'number'. Cells are checked as whole
+    vectors, column by column; blank cells are no failures.
+    """
+    rule = {"integer": r"^\s*[+-]?\d+\s*$", "number": r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, out = b.column("values"), []
+            flat, parent = pc.list_flatten(values), pc.list_parent_indices(values).to_numpy()
+            field = pc.list_flatten(b.column("names"))
+            wanted = pc.replace_with_mask(field, pa.array([True] * len(field)), pa.array([kinds.get(f, "" if f in ("", key) else kinds.get("*", "")) for f in field.to_pylist()], pa.string()))
+            filled = pc.match_substring_regex(flat, r"\S")
+            for kind, rx in rule.items():
+                odd = pc.and_(pc.and_(pc.equal(wanted, kind), filled), pc.invert(pc.match_substring_regex(flat, rx)))
+                at = pc.indices_nonzero(odd)
+                rows = pa.array(parent[at.to_numpy()], pa.int64())
+                out.append(pa.RecordBatch.from_arrays([pc.take(b.column("record_id"), rows), pc.take(field, at), pc.take(flat, at), pa.array([kind] * len(at), pa.string())], names=["record_id", "field_name", "value", "wanted"]))
+            yield from out
+
+    one = loaded(raw, sep, key).select("record_id", "names", "values")
+    return one.mapInArrow(run, "record_id long, field_name string, value string, wanted string").select(F.lit(source).alias("source_table"), "record_id", "field_name", "value", "wanted")
+
+
 def rejects(raw: DataFrame, sep: str, key: str, source: str) -> DataFrame:
     """(source_table, record_id, reason): the records that do not load, each with its first reason."""
     return parse(raw, sep, key).where("reason is not null").select(F.lit(source).alias("source_table"), "record_id", "reason")

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, app: str = "millrace") -> SparkSession:
@@ -47,3 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SMALL = 64 << 20  # bytes up to which a side is broadcast
+
+
+def small_side(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """`df`, written to the shared folder once and marked for broadcast if what was written is small.
+
+    The size is that of the rows as text, counted on what was written; a larger side is left to the
+    optimizer, whose join then shuffles and splits skewed keys.
+    """
+    kept = cut(df)
+    size = kept.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(kept) if size <= most else kept

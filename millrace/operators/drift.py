@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import records
+from millrace.session import cut, small_side
 
 INTEGER = r"^[+-]?[0-9]+$"
 DECIMAL = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)$"
@@ -44,8 +45,10 @@ def quarter_end(code: Column) -> Column:
 def rescue(names: Column, values: Column) -> Column:
     """Map of field to its non-blank value; unnamed columns are left out, the first of repeated names stays."""
     pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p: (p["k"] != "") & (p["v"] != ""))
+    named = F.filter(names, lambda n: n != "")
+    # only a header that repeats a name needs the fold, which grows with the square of its columns
     first = F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, p: F.when(F.exists(acc, lambda a: a["k"] == p["k"]), acc).otherwise(F.array_append(acc, F.struct(p["k"].alias("k"), p["v"].alias("v")))))
-    return F.map_from_entries(first)
+    return F.when(F.size(F.array_distinct(named)) == F.size(named), F.map_from_entries(pairs)).otherwise(F.map_from_entries(first))
 
 
 def _cast(value: Column, kind: str) -> Column:
@@ -56,19 +59,24 @@ def _cast(value: Column, kind: str) -> Column:
     return value
 
 
-def ingest(raw: DataFrame, target: dict[str, str]) -> DataFrame:
+def rescued(raw: DataFrame) -> DataFrame:
+    """(record_id, file_name, _m): the map of every loadable record."""
+    return records.loaded(raw, "\t", ID).select("record_id", "file_name", rescue(F.col("names"), F.col("values")).alias("_m"))
+
+
+def ingest(raw: DataFrame, target: dict[str, str], as_json: bool = True) -> DataFrame:
     """One consistent table of all loadable records: file columns, idrssd, the target fields, `_rescued`.
 
     target: field name -> 'long', 'double' or 'string'. A field the file lacks or that cannot be cast is
-    null; unknown fields and uncastable values are kept in `_rescued` (JSON, null when empty).
+    null; unknown fields and uncastable values are kept in `_rescued` (JSON, null when empty; a map where a
+    replay follows in the same plan).
     """
-    files = raw.where("line_no = 0").groupBy("file_name").agg(F.min("feed").alias("feed"), F.min("quarter_code").alias("quarter_code"))
-    one = records.loaded(raw, "\t", ID).withColumn("_m", rescue(F.col("names"), F.col("values"))).drop("names", "values")
-    one = one.join(files, "file_name", "left").select("feed", "file_name", quarter_end(F.col("quarter_code")).alias("quarter_end"), "record_id", F.element_at("_m", ID).try_cast("long").alias("idrssd"), "_m")
-    return _promote(one, target)
+    files = small_side(raw.where("line_no = 0").groupBy("file_name").agg(F.min("feed").alias("feed"), F.min("quarter_code").alias("quarter_code")))
+    one = rescued(raw).join(files, "file_name", "left").select("feed", "file_name", quarter_end(F.col("quarter_code")).alias("quarter_end"), "record_id", F.try_element_at("_m", F.lit(ID)).try_cast("long").alias("idrssd"), "_m")
+    return _promote(one, target, as_json)
 
 
-def _promote(one: DataFrame, target: dict[str, str]) -> DataFrame:
+def _promote(one: DataFrame, target: dict[str, str], as_json: bool) -> DataFrame:
     typed = [_cast(F.try_element_at("_m", F.lit(f)), k).alias(f) for f, k in target.items()]
     by_kind: dict[str, list[str]] = {}
     for f, k in target.items():
@@ -77,12 +85,13 @@ def _promote(one: DataFrame, target: dict[str, str]) -> DataFrame:
     done = lambda k, v: reduce(lambda a, b: a | b, [k.isin(names) & _cast(v, kind).isNotNull() for kind, names in by_kind.items()], k == ID)
     left = F.map_filter("_m", lambda k, v: ~done(k, v))
     kept = [c for c in one.columns if c not in ("_m", *target)]
-    return one.select(*kept, *typed, F.when(F.size(left) > 0, F.to_json(left)).alias("_rescued"))
+    return one.select(*kept, *typed, F.when(F.size(left) > 0, F.to_json(left) if as_json else left).alias("_rescued"))
 
 
 def replay(table: DataFrame, more: dict[str, str]) -> DataFrame:
-    """`table` with further fields promoted from `_rescued` into typed columns."""
-    return _promote(table.withColumn("_m", F.from_json(F.coalesce("_rescued", F.lit("{}")), "map<string,string>")).drop("_rescued"), more)
+    """`table` with further fields promoted from `_rescued` into typed columns; `_rescued` is JSON or a map, and JSON after it."""
+    kept = F.col("_rescued") if table.schema["_rescued"].dataType.typeName() == "map" else F.from_json("_rescued", "map<string,string>")
+    return _promote(table.withColumn("_m", F.coalesce(kept, F.create_map().cast("map<string,string>"))).drop("_rescued"), more, True)
 
 
 def item_fields(items: DataFrame) -> dict[str, list[str]]:
@@ -103,13 +112,14 @@ def by_item(table: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
 def profile(raw: DataFrame) -> DataFrame:
     """(feed, q, file_name, field, kind): the type of every field of every file, over its rescued values.
 
-    All fields are rescued (the target schema is empty), and their castability is folded per file and
-    field before anything is shuffled; kind is null for a field without values.
+    Castability is folded per file and field before anything is shuffled; kind is null for a field without values.
     """
-    wide = ingest(raw, {}).select("file_name", F.explode(F.from_json("_rescued", "map<string,string>")).alias("field", "v"))
+    wide = rescued(raw).select("file_name", F.explode("_m").alias("field", "v")).where(F.col("field") != ID)
     whole, point = F.col("v").rlike(INTEGER), F.col("v").rlike(DECIMAL)
-    kinds = wide.groupBy("file_name", "field").agg(F.bool_and(whole).alias("i"), F.bool_and(whole | point).alias("n"))
-    kinds = kinds.select("file_name", "field", F.when(F.col("i"), "integer").when(F.col("n"), "decimal").otherwise("text").alias("kind"))
+    # 0: integer, 1: decimal, 2: text; the field has the greatest of its values
+    rank = F.when(whole, 0).when(point, 1).otherwise(2)
+    kinds = wide.groupBy("file_name", "field").agg(F.max(rank).alias("r"))
+    kinds = kinds.select("file_name", "field", F.when(F.col("r") == 0, "integer").when(F.col("r") == 1, "decimal").otherwise("text").alias("kind"))
     head = (
         raw.where("line_no = 0")
         .groupBy("file_name")
@@ -125,14 +135,15 @@ def report(raw: DataFrame, items: DataFrame) -> DataFrame:
 
     items: (field_name, item); two fields with one item are one field under two names.
     """
-    now = profile(raw)
+    # files x fields, which the rest meets several times
+    now = cut(profile(raw))
     files = now.select("feed", "q", "file_name").distinct()
     pairs = files.join(files.select("feed", (F.col("q") + 1).alias("q"), F.col("file_name").alias("prior")), ["feed", "q"])
     after = pairs.join(now.select("file_name", "field", F.col("kind").alias("kind_after")), "file_name")
     before = pairs.join(now.select(F.col("file_name").alias("prior"), "field", F.col("kind").alias("kind_before")), "prior")
     both = before.withColumn("had", F.lit(True)).join(after.withColumn("has", F.lit(True)), ["feed", "q", "file_name", "prior", "field"], "full")
     changed = both.where("had and has and kind_before <> kind_after").select("file_name", F.lit("type_changed").alias("drift"), F.col("field").alias("field_before"), F.col("field").alias("field_after"))
-    names = F.broadcast(items.groupBy(F.upper(F.trim("field_name")).alias("field")).agg(F.min("item").alias("item")))
+    names = small_side(items.groupBy(F.upper(F.trim("field_name")).alias("field")).agg(F.min("item").alias("item")))
     moved = both.where("had is null or has is null").join(names, "field", "left")
     # a running number within file, item and side pairs the gone with the new; items without name pair with none
     w = Window.partitionBy("file_name", "item", "had").orderBy("field")

@@ -12,6 +12,7 @@ repeats keep their own numbers; delimiters inside a balanced pair of double quot
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +30,20 @@ CANDIDATES = {
     "blank": r"\s",
     "and": r"(?<=\s)[Aa][Nn][Dd](?=\s)",
 }
-# Item types in the order in which they are tried. A path type separates only behind its extension.
+# Item types in the order in which they are tried, where the caller names none. A path type separates only behind its extension.
 TYPES = {
     "date": r"^\d{4}-\d{2}-\d{2}$",
     "path": r"^[^\s\"']*\.html?$",
     "label": r"^[a-z][a-z0-9]*(_[a-z0-9]+)*$",
-    "name": r"^(?!(?i:bank|trust|company|co|savings|state|national|community|commercial|federal|na|n\.a\.|fsb|inc\.?|member fdic)\b)\S.*$",
+    "name": r"^\S.*$",
 }
 PATH_TAIL = r"(?i)\.html$"
 PATH_END = r"(?i)(?<=\.html)"
-# Legal tails that follow a comma but belong to the name before it.
-TAIL = r"(?!\s*(?:(?:N\.?\s?A\.?|F\.?\s?S\.?\s?B\.?|I[nN][cC]\.?)(?=[\s\"'\],;|/]|$)|\(?M\w{3,7}\s+F\w{2,4}\b))"
 # Private characters that stand in for quoted delimiters.
 OPEN, STAND_IN = chr(0xE00F), "".join(chr(0xE010 + i) for i in range(12))
 PLAIN = ";,|/\r\n\t+&"
+# what a value must hold for a candidate to be tried at all, by plain search
+SIGNS = {"semicolon": [";"], "comma": [","], "pipe": ["|"], "slash": ["/"], "newline": ["\n", "\r"], "tab": ["\t"], "plus": ["+"], "ampersand": ["&"], "blank": [" ", "\t", "\n"], "and": ["and", "AND", "And"]}
 
 
 @dataclass
@@ -52,6 +53,7 @@ class DelimiterModel:
     types: dict[str, str] = field(default_factory=dict)
     accepted: dict[str, list[str]] = field(default_factory=dict)
     scores: list[tuple[str, str, int, float, float]] = field(default_factory=list)
+    tail: str = ""
 
 
 def _bare(c: Column) -> Column:
@@ -59,49 +61,54 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\"'\[\]]+|[\s\"'\[\]]+$", "")
 
 
-def _cutter(names: list[str], item_type: str) -> str:
-    """Regular expression that cuts a value of the item type at the named delimiters."""
-    each = [CANDIDATES[n] + (TAIL if n == "comma" and item_type == "name" else "") for n in names]
+def _cutter(names: list[str], item_type: str, tail: str) -> str:
+    """Regular expression that cuts a value of the item type at the named delimiters; a comma before a name's tail does not separate."""
+    each = [CANDIDATES[n] + (tail if n == "comma" and item_type == "name" else "") for n in names]
     if item_type == "path":
         return PATH_END + r"[\"']?(?:\s*(?:" + "|".join(each) + r")[\s\"']*)+"
     return "|".join(each)
 
 
-def fit(df: DataFrame, fields: list[str], least_regular: float = 0.9, least_consistent: float = 0.9) -> DelimiterModel:
-    """Item type and delimiters of each field, from all rows; two aggregations, a few rows of result each.
+def fit(df: DataFrame, fields: list[str], types: dict[str, str] = TYPES, tail: str = "", least_regular: float = 0.9, least_consistent: float = 0.9) -> DelimiterModel:
+    """Item type and delimiters of each field, from all rows; two passes over them, a few rows of result each.
 
-    The type of a field is the first of TYPES that most values without any candidate delimiter have
-    (a path type: most values end in its extension). A delimiter is scored on the values that hold it and
-    no other candidate: the share of their pieces that have the item type (regularity) and the share of
-    those values that come out as two or more pieces, all of that type (consistency). It is accepted if
-    both reach their bounds. A field without values keeps no delimiter.
+    types: item types in the order of trial, with the pattern of an item; 'name' must be among them, as what a
+    field has that fits none. tail: look-ahead for what follows a comma within a name. The type of a field is the
+    first that most values without any candidate delimiter have (a path type: most values end in its
+    extension). A delimiter is scored on the values that hold it and no other candidate: the share of their
+    pieces that have the item type (regularity) and the share of those values that come out as two or more
+    pieces, all of that type (consistency). It is accepted if both reach their bounds. A field without values
+    keeps no delimiter.
     """
-    model = DelimiterModel()
+    model = DelimiterModel(tail=tail)
     every = "|".join(rx for n, rx in CANDIDATES.items() if n != "blank")
     shape = []
     for f in fields:
         v = _bare(F.col(f))
         plain = (v != "") & ~v.rlike(every)
         shape += [F.count_if(plain).alias(f"{f}#plain"), F.count_if(v != "").alias(f"{f}#all")]
-        shape += [F.count_if((v != "") & v.rlike(PATH_TAIL) if t == "path" else plain & v.rlike(rx)).alias(f"{f}#{t}") for t, rx in TYPES.items()]
+        shape += [F.count_if((v != "") & v.rlike(PATH_TAIL) if t == "path" else plain & v.rlike(rx)).alias(f"{f}#{t}") for t, rx in types.items()]
     got = df.agg(*shape).first()
-    scored = None
+    tries = []
     for f in fields:
-        total = {t: got[f"{f}#all"] if t == "path" else got[f"{f}#plain"] for t in TYPES}
-        t = model.types[f] = next((t for t in TYPES if total[t] and got[f"{f}#{t}"] >= 0.8 * total[t]), "name")
+        total = {t: got[f"{f}#all"] if t == "path" else got[f"{f}#plain"] for t in types}
+        t = model.types[f] = next((t for t in types if total[t] and got[f"{f}#{t}"] >= 0.8 * total[t]), "name")
         model.accepted[f] = []
         value = F.regexp_replace(F.col(f), r"^[\s\[]+|[\s\];,|]+$", "")
-        tries = []
         for name in CANDIDATES:
             others = [n for n in CANDIDATES if n not in (name, "blank")]
-            parts = F.filter(F.transform(F.split(value, _cutter([name], t)), _bare), lambda p: p != "")
-            typed = F.size(F.filter(parts, lambda p: p.rlike(TYPES[t])))
-            alone = ~value.rlike(_cutter(others, t))
-            tries.append(F.when(alone & value.rlike(_cutter([name], t)), F.struct(F.lit(name).alias("name"), F.size(parts).alias("n"), typed.alias("typed"))))
-        one = df.select(F.lit(f).alias("field_name"), F.explode(F.array_compact(F.array(*tries))).alias("t")).where("t.n > 1")
-        one = one.groupBy("field_name", "t.name").agg(F.count("*").alias("rows"), F.sum("t.typed").alias("typed"), F.sum("t.n").alias("n"), F.count_if(F.col("t.typed") == F.col("t.n")).alias("whole"))
-        scored = one if scored is None else scored.unionByName(one)
-    for r in sorted(scored.collect()) if scored is not None else []:  # at most fields x candidates rows
+            parts = F.filter(F.transform(F.split(value, _cutter([name], t, tail)), _bare), lambda p: p != "")
+            typed = F.size(F.filter(parts, lambda p: p.rlike(types[t])))
+            # the plain search comes first: most values hold one or two of the candidates
+            held = reduce(lambda a, b: a | b, [F.contains(F.col(f), F.lit(x)) for x in SIGNS[name]])
+            fits = held & value.rlike(_cutter([name], t, tail)) & ~value.rlike(_cutter(others, t, tail))
+            tries.append(F.when(fits, F.struct(F.lit(f).alias("field_name"), F.lit(name).alias("name"), F.size(parts).alias("n"), typed.alias("typed"))))
+    scored = []
+    if tries:
+        one = df.select(F.explode(F.array_compact(F.array(*tries))).alias("t")).where("t.n > 1").select("t.*")
+        # at most fields x candidates rows
+        scored = one.groupBy("field_name", "name").agg(F.count("*").alias("rows"), F.sum("typed").alias("typed"), F.sum("n").alias("n"), F.count_if(F.col("typed") == F.col("n")).alias("whole")).collect()
+    for r in sorted(scored):
         regular, consistent = r.typed / r.n, r.whole / r.rows
         model.scores.append((r.field_name, r.name, r.rows, round(regular, 4), round(consistent, 4)))
         if regular >= least_regular and consistent >= least_consistent:
@@ -116,13 +123,13 @@ def items(value: Column, model: DelimiterModel, name: str) -> Column:
     s = F.regexp_replace(value, r"^[\s\[]+|[\s\]]+$", "")
     if not kept:
         return F.filter(F.array(_bare(s)), lambda p: p != "")
-    cut = _cutter(kept, kind)
+    cut = _cutter(kept, kind, model.tail)
     if kind != "path":
         # quoted delimiters are stood in for by private characters while the value is cut
         parts = F.split(s, '"')
         shielded = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(F.translate(p, PLAIN, STAND_IN[: len(PLAIN)]), r"(?<=\s)([Aa][Nn][Dd])(?=\s)", OPEN + "$1")).otherwise(p))
         balanced = (F.size(parts) % 2 == 1) & ~s.rlike(r'^"[^"]*[;|\n][^"]*"[\s;]*$')
-        s = F.when(balanced, F.array_join(shielded, '"')).otherwise(s)
+        s = F.when(F.contains(s, F.lit('"')) & balanced, F.array_join(shielded, '"')).otherwise(s)
     out = F.transform(F.split(s, cut), lambda p: _bare(F.translate(p, STAND_IN[: len(PLAIN)] + OPEN, PLAIN)))
     return F.filter(out, lambda p: p != "")
 

@@ -27,7 +27,7 @@ heads as (select file_name, list_transform(string_split(arg_min(coalesce(raw_lin
 lines as (select r.record_id, r.file_name, coalesce(raw_line, '') as line, names from {source} r left join heads using (file_name) where line_no > 0 or line_no is null),
 emptied as (select *, regexp_replace({s} || replace(line, {s}, {s} || {s}) || {s}, '{esc}"(?:[^"]|"")*"{esc}', {s} || {s}, 'g') as bare_line from lines),
 cells as (select record_id, file_name, names, contains(bare_line, '"') as broken, length(bare_line) - length(replace(bare_line, {s}, '')) as n_seps,
-  list_transform(string_split(array_to_string(list_transform(string_split(line, '"'), lambda p, i: case when i % 2 = 0 then replace(p, {s}, chr(1)) else p end), '"'), {s}), lambda c: replace(regexp_replace(regexp_replace(c, '^[\s"]+', ''), '[\s"]+$', ''), chr(1), {s})) as vals from emptied)"""
+  list_transform(string_split(array_to_string(list_transform(string_split(line, '"'), lambda p, i: case when i % 2 = 0 then replace(p, {s}, chr(1)) else p end), '"'), {s}), lambda c: replace(replace(regexp_replace(regexp_replace(c, '^[\s"]+', ''), '[\s"]+$', ''), '""', '"'), chr(1), {s})) as vals from emptied)"""
 
 
 def _loaded_rc() -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import boilerplate, canon, encode, mixing, names, pii, residue
 from millrace.operators import packed
+from millrace.plans import cleaning
 from millrace.session import cut, table
 
 
@@ -62,7 +63,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bank or category every typed value means, -1 for none of the list."""
     info = table(spark, sf_dir, "extracted_product_info_v2").select("extract_id", "bank_partner_specific")
     names = [(r[0], r[1]) for r in table(spark, sf_dir, "matched_names").select("partnername", "idrssd").collect()]
-    items = packed.split(info, "extract_id", ["bank_partner_specific"], packed.fit(info, ["bank_partner_specific"]))
+    items = packed.split(info, "extract_id", ["bank_partner_specific"], packed.fit(info, ["bank_partner_specific"], cleaning.TYPES, cleaning.TAIL))
     banks = canon.resolve(items, "item", canon.bank_entries(names), canon.bank_form, [n for n, _ in names if n])
     master = table(spark, sf_dir, "fintech_timelines_master").select("row_id", "product_subcategory")
     listed = [tuple(r) for r in table(spark, sf_dir, "subcategory_list").select("product_subcategory", "subcategory_id", "also_called").collect()]

@@ -1,18 +1,21 @@
-"""Main body of web pages: maximum-scoring runs over words weighed on labelled pages.
+"""Main body of web pages: maximum-scoring regions over words weighed on labelled pages.
 
-Words and word pairs score positive or negative with weights fitted on labelled lines (logistic
-regression); tags are gone from these texts, so line ends and separators stand in for them. One linear
-scan then finds the maximal runs of positive score that nowhere fall by more than `drop`; what lies in
-such a run is body. A flattened text is cut by words instead, into the stretches of body and furniture
-whose scores, less the costs of the turns between them, sum to the most.
+Words, word pairs and the build of a line score positive or negative, with weights fitted on labelled lines
+(logistic regression); tags are gone from these texts, so line ends, separators and capitals stand in for
+them. One linear scan then finds the contiguous regions of lines whose scores, less a price for each region, sum
+to the most: the best region, and a further one only where it earns more than its price. So a line of
+doubtful words is body beside body and furniture beside furniture. The price is fitted on labelled pages. A
+flattened text is cut by words instead, into the stretches of body and furniture whose scores, less the costs of
+the turns between them, sum to the most.
 
 Defined cases: a null text has a null body and no lines; an empty text has an empty body; blank lines
-are counted and belong to neither side; a line or flattened text
-without any known word is body; texts are read whole.
+are counted and belong to neither side; a line or flattened text without any known word goes with what is
+beside it, and is body alone; texts are read whole.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,13 +33,18 @@ TURN, WORD_BIAS = (1.0, 2.0, 4.0), 0.05  # cost of a turn where a line may have
 MEMO_LINES = 400_000  # bound of the per-worker memo of scored lines; a full memo starts anew
 
 
+LITTLE = frozenset("the a an of to in on at for with and or when if is are be by from your you we our that this which will may can not no as it per any each up before after within".split())  # fixed value
+SEPARATOR = re.compile(r"(?<=\s)[|·•›»>/-](?=\s)")
+PRICES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)  # tried when the price of a region is fitted
+
+
 def tokens(line: str) -> list[str]:
     """Lower-cased words, one sign for each number, and single punctuation marks; `line` has # for digits."""
-    return TOKEN.findall(re.sub(r"#(?:[#.,]*#)?", "#", line))
+    return TOKEN.findall(re.sub(r"#(?:[#.,]*#)?", "#", line.lower()))
 
 
 def normal(line: str) -> str:
-    return re.sub(r"\d", "#", line.lower())
+    return re.sub(r"\d", "#", line)
 
 
 def _features(words: list[str]) -> list[str]:
@@ -45,10 +53,30 @@ def _features(words: list[str]) -> list[str]:
     return [*words, f"^ {words[0]}", *(f"{a} {b}" for a, b in zip(words, words[1:]))]
 
 
+def _build(line: str, words: list[str]) -> list[str]:
+    """How a line is built: its length, little words, capitals, separators, first and last sign."""
+    real = [w for w in words if w[0].isalpha()]
+    n, little = len(real), sum(w in LITTLE for w in real)
+    big = sum(w[0].isupper() for w in re.findall(r"[^\W\d_]+", line))
+    parts = len(SEPARATOR.findall(line))
+    s = line.strip()
+    size = 0 if n == 0 else 1 if n < 3 else 2 if n < 5 else 3 if n < 9 else 4 if n < 15 else 5
+    share = 0 if not n else min(4, int(4 * big / n))
+    last = s[-1] if s and not s[-1].isalnum() else "a"
+    return [f"~n{size}", f"~l{min(little, 3)}", f"~n{size}l{min(little, 3)}", f"~c{share}", f"~c{share}l{min(little, 3)}", f"~s{min(parts, 3)}", f"~e{last}", f"~f{'a' if s[:1].isalnum() else s[:1]}", f"~n{size}e{last}"]
+
+
+def line_features(line: str, words: list[str], built: bool) -> set[str]:
+    return set(_features(words)) | set(_build(line, words)) if built else set(_features(words))
+
+
 @lru_cache(maxsize=4)
-def weights(copies: int = 24, seed: int = 7, steps: int = 400, penalty: float = 5e-5) -> dict[str, float]:
-    """Weight of each word and word pair, positive for body; fitted by gradient descent on the labelled lines."""
-    data = [(set(_features(tokens(normal(s)))), y) for s, y in labelled_pages.lines(copies, seed)]
+def weights(built: bool = True, copies: int = 24, seed: int = 7, steps: int = 400, penalty: float = 4e-4) -> dict[str, float]:
+    """Weight of each word, word pair and sign of build, positive for body; fitted by gradient descent on the labelled lines.
+
+    built: with the build of lines; without it for flattened texts, which have no lines.
+    """
+    data = [(line_features(normal(s), tokens(normal(s)), built), y) for s, y in labelled_pages.lines(copies, seed)]
     seen: dict[str, int] = {}
     for f, _ in data:
         for x in f:
@@ -57,14 +85,38 @@ def weights(copies: int = 24, seed: int = 7, steps: int = 400, penalty: float =
     rows = np.concatenate([np.full(len(f & names.keys()), i) for i, (f, _) in enumerate(data)])
     cols = np.concatenate([np.array([names[x] for x in sorted(f & names.keys())], int) for f, _ in data])
     y = np.array([label for _, label in data], float)
+    # both sides weigh the same, however many lines each has
+    even = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, g2 = np.zeros(len(names)), np.full(len(names), 1e-6)
     for _ in range(steps):
         z = np.bincount(rows, w[cols], len(y))
-        err = 1 / (1 + np.exp(-z)) - y
+        err = (1 / (1 + np.exp(-z)) - y) * even
         g = np.bincount(cols, err[rows], len(names)) / len(y) + penalty * w
         g2 += g * g
         w -= 0.5 * g / np.sqrt(g2)
-    return Weights({x: float(w[i]) for x, i in names.items() if abs(w[i]) > 1e-3})
+    return Weights({x: float(w[i]) for x, i in names.items() if abs(w[i]) > 1e-3}, built)
+
+
+@lru_cache(maxsize=2)
+def price(seed: int = 3, pages: int = 300) -> float:
+    """What a region costs: the price that tells most lines of labelled pages right, the least on ties.
+
+    The pages are put together from lines whose patterns fit no weights, in turns of furniture and body.
+    """
+    rng = random.Random(seed)
+    pool = {k: [s for s, y in labelled_pages.lines(6, seed, held=True) if y == k] for k in (0, 1)}
+    w, made = weights(), []
+    for _ in range(pages):
+        kinds: list[int] = []
+        k = rng.randint(0, 1)
+        while len(kinds) < 24:
+            kinds += [k] * rng.choice([1, 1, 2, 3] if k == 0 else [1, 2, 4, 8])
+            k = 1 - k
+        made.append(([line_score(normal(rng.choice(pool[k])), w) for k in kinds], kinds))
+    right = []
+    for p in PRICES:
+        right.append(sum(sum(a == bool(k) for a, k in zip(inside(s, p), kinds)) for s, kinds in made))
+    return PRICES[int(np.argmax(right))]
 
 
 @lru_cache(maxsize=4)
@@ -80,13 +132,14 @@ def _near(known: frozenset[str]) -> dict[str, str]:
 class Weights(dict):
     """Weights by word and pair, with the one-slip repair of unknown words."""
 
-    def __init__(self, w: dict[str, float]):
+    def __init__(self, w: dict[str, float], built: bool):
         super().__init__(w)
+        self.built = built
         self.near = _near(frozenset(x for x, v in w.items() if len(x) > 5 and x.isalpha() and abs(v) > 0.1))
         self.repaired: dict[str, str] = {}
 
     def __reduce__(self):
-        return Weights, (dict(self),)
+        return Weights, (dict(self), self.built)
 
     def repair(self, word: str) -> str:
         """`word`, or the known word that one dropped, added, changed or swapped letter made it from."""
@@ -101,34 +154,31 @@ class Weights(dict):
         return got
 
 
-def line_score(line: str, w: dict[str, float], bias: float = 0.3) -> float:
-    """Log odds that a normalised line is body."""
+def line_score(line: str, w: dict[str, float], bias: float = 0.0) -> float:
+    """Log odds that a line with # for digits is body."""
     get, words = w.get, tokens(line)
     if isinstance(w, Weights):
         words = [w.repair(x) for x in words]
-    return bias + sum(get(f, 0.0) for f in set(_features(words)))
+    return bias + sum(get(f, 0.0) for f in line_features(line, words, getattr(w, "built", True)))
+
 
+def inside(scores: list[float], cost: float) -> list[bool]:
+    """Whether each line lies in one of the contiguous regions whose scores, less `cost` a region, sum to the most.
 
-def runs(scores: list[float], drop: float) -> list[tuple[int, int]]:
-    """Maximal runs [from, to) of positive sum, found in one scan; a fall of more than `drop` below the best ends a run."""
-    out: list[tuple[int, int]] = []
-    start, total, best, end = -1, 0.0, 0.0, -1
+    One scan: the best sum that ends inside a region and the best that ends outside. Ties stay as they are.
+    """
+    into, out = -cost, 0.0  # before the first line: a region may begin with it
+    back: list[tuple[bool, bool]] = []
     for i, s in enumerate(scores):
-        if start < 0:
-            if s > 0:
-                start, total, best, end = i, s, s, i + 1
-            continue
-        total += s
-        if total > best:
-            best, end = total, i + 1
-        elif best - total > drop or total <= 0:
-            out.append((start, end))
-            start = -1
-            if s > 0:
-                start, total, best, end = i, s, s, i + 1
-    if start >= 0:
-        out.append((start, end))
-    return out
+        stay, enter = into if i else float("-inf"), out - cost
+        leave = into if i else float("-inf")
+        back.append((stay >= enter, leave > out))
+        into, out = max(stay, enter) + s, max(out, leave)
+    now, got = bool(scores) and into > out, [False] * len(scores)
+    for i in range(len(scores) - 1, -1, -1):
+        got[i] = now
+        now = back[i][0] if now else back[i][1]
+    return got
 
 
 def turn_costs(text: str, spans: list[tuple[int, int]]) -> list[float]:
@@ -189,7 +239,7 @@ class Scorer:
         """(row of each line, score of each line, whether it is blank) for the non-null texts."""
         split = pc.split_pattern(text, "\n")
         flat, parent = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
-        coded = pc.replace_substring_regex(pc.utf8_lower(flat), r"\d", "#").dictionary_encode()
+        coded = pc.replace_substring_regex(flat, r"\d", "#").dictionary_encode()
         if len(self.memo) > MEMO_LINES:
             self.memo.clear()
         memo, w = self.memo, self.w
@@ -205,30 +255,32 @@ class Scorer:
         return parent, known[at], blank[at]
 
 
-def _outside(parent: np.ndarray, score: np.ndarray, blank: np.ndarray, drop: float) -> np.ndarray:
+def _outside(parent: np.ndarray, score: np.ndarray, blank: np.ndarray, cost: float) -> np.ndarray:
     """Whether each line lies outside the body of its text; blank lines do not."""
-    s = np.where(blank, 0.0, score).tolist()
     out = ~blank
     if not len(parent):
         return out
-    ends = np.flatnonzero(np.append(parent[1:] != parent[:-1], True)) + 1
+    at = np.flatnonzero(~blank)
+    s, own = score[at].tolist(), parent[at]
+    ends = np.flatnonzero(np.append(own[1:] != own[:-1], True)) + 1 if len(at) else []
+    body: list[bool] = []
     a = 0
-    for b in ends.tolist():
-        for x, y in runs(s[a:b], drop):
-            out[a + x : a + y] = False
+    for b in ends:
+        body += inside(s[a:b], cost)
         a = b
+    out[at] = ~np.array(body, bool)
     return out
 
 
-def outside_lines(df: DataFrame, id_col: str, text_col: str, source: str, drop: float = 0.5) -> DataFrame:
+def outside_lines(df: DataFrame, id_col: str, text_col: str, source: str) -> DataFrame:
     """(source_table, row_id, line_no): the lines outside the body, of texts with at least one line break."""
-    w = weights()
+    w, cost = weights(), price()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(w)
         for b in batches:
             parent, score, blank = scorer.lines(b.column(1))
-            out = _outside(parent, score, blank, drop)
+            out = _outside(parent, score, blank, cost)
             first = np.searchsorted(parent, parent)
             line_no = np.arange(len(parent)) - first + 1
             yield pa.RecordBatch.from_arrays([pc.take(b.column(0), pa.array(parent[out], pa.int64())), pa.array(line_no[out], pa.int32())], names=["row_id", "line_no"])
@@ -237,15 +289,15 @@ def outside_lines(df: DataFrame, id_col: str, text_col: str, source: str, drop:
     return rows.mapInArrow(run, "row_id long, line_no int").select(F.lit(source).alias("source_table"), "row_id", "line_no")
 
 
-def bodies(df: DataFrame, id_col: str, text_col: str, source: str, drop: float = 0.5) -> DataFrame:
+def bodies(df: DataFrame, id_col: str, text_col: str, source: str) -> DataFrame:
     """(source_table, row_id, body): the main body of every text, flattened ones included."""
-    w = weights()
+    w, flat, cost = weights(), weights(built=False), price()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(w)
         for b in batches:
             parent, score, blank = scorer.lines(b.column(1))
-            out = _outside(parent, score, blank, drop)
+            out = _outside(parent, score, blank, cost)
             texts: list[str | None] = []
             a = 0
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -253,7 +305,7 @@ def bodies(df: DataFrame, id_col: str, text_col: str, source: str, drop: float =
                     texts.append(None)
                     continue
                 parts = t.split("\n")
-                texts.append(flat_body(t, w) if len(parts) == 1 else "\n".join(p for p, o in zip(parts, out[a : a + len(parts)]) if not o))
+                texts.append(flat_body(t, flat) if len(parts) == 1 else "\n".join(p for p, o in zip(parts, out[a : a + len(parts)]) if not o))
                 a += len(parts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row_id", "body"])
 

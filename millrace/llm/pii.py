@@ -3,12 +3,13 @@
 The field is trained by gradient ascent on the log-likelihood of a small labelled table (forward and
 backward sums in numpy) and decoded by Viterbi in numpy batches. Its features are the word, its shape
 and its ending at each place of a window, so a word's part in every feature is looked up once per
-distinct word and the score of a position is a sum of table rows. Pieces are then checked exactly:
-role mailboxes, toll-free lines and malformed pieces are dropped.
+distinct word and the score of a position is a sum of table rows. Addresses of mail are words and marks like any
+others: what is personal and what is the mailbox of an office is learnt. Pieces are then checked exactly by form:
+toll-free lines and malformed pieces are dropped, and a piece ends where its form ends.
 
-Defined cases: null and empty texts have no pieces and come out of redaction as they are; texts of any
-length are decoded whole, in blocks of lines and of BLOCK words with OVERLAP words of context; the same
-piece in one text counts once; other parts of the text are left untouched.
+Defined cases: null and empty texts have no pieces and come out of redaction as they are; texts and lines of any
+length are decoded whole; the same piece in one text counts once; other parts of the text are left untouched; a
+piece lies within one line.
 """
 
 from __future__ import annotations
@@ -30,20 +31,14 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 L = len(LABELS)
 WINDOW = range(-5, 6)
 MARK = r"\s?(?:@|[\[(]at[\])])\s?"
-MAIL = rf"(?:[\w.+-]+{MARK}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+|\s?[\[(]dot[\])]\s?[A-Za-z0-9-]+)+|[\w.+-]+\sat\s[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)+)"
-TOKEN = re.compile(rf"{MAIL}|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_")
-USER = re.compile(r"[\w.+-]*")
-# fixed texts: mailboxes of companies
-ROLES = frozenset("disputes fraud complaints inquiries enquiries hr recruiting accounts payments security compliance investors partners webteam mail post info help support contact press sales service services admin office hello team media legal privacy careers jobs billing feedback customercare care webmaster noreply no-reply".split())
-BLOCK, OVERLAP = 192, 24
+MAIL = re.compile(rf"(?:[\w.+-]+{MARK}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+|\s?[\[(]dot[\])]\s?[A-Za-z0-9-]+)+|[\w.+-]+\sat\s[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)+)", re.IGNORECASE)
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_")
+GRID = 96_000  # words decoded together
 MEMO = 200_000
 
 
 def features(word: str) -> list[str]:
     """What a word says wherever it stands: itself, its shape and its ending."""
-    if len(word) > 2 and ("@" in word or " at " in word or "at]" in word or "at)" in word):
-        user = USER.match(word)[0].lower()
-        return ["mail", "mail role" if user in ROLES else "mail user"]
     if word.isdigit():
         return [f"d{min(len(word), 10)}", f"d{min(len(word), 10)}:{word[0]}", "digits", *([f"={word}"] if len(word) < 4 else [])]
     if not word[0].isalpha():
@@ -56,6 +51,15 @@ def features(word: str) -> list[str]:
     return out
 
 
+def known(word: str, index: dict[str, int]) -> list[int]:
+    """Numbers of the features of a word; one that training did not get to know is marked as rare, by its shape."""
+    own = features(word)
+    got = [index[f] for f in own if f in index]
+    if word[0].isalpha() and own[0] not in index:
+        got.append(index[f"?{own[1]}"])
+    return got
+
+
 class Field:
     """Weights of the field: one row per (offset, feature), and the transitions."""
 
@@ -72,7 +76,7 @@ class Field:
         i = len(self.ids) + 1
         if i >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        at = [self.index[f] for f in features(word) if f in self.index]
+        at = known(word, self.index)
         if at:
             self.rows[i] = self.w[:, at].sum(1)
         self.ids[word] = i
@@ -94,7 +98,7 @@ def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray
     """Best labels (batch, time) of the emissions; past a sequence's length they mean nothing."""
     b, t, n = e.shape
     back = np.zeros((b, t, n), np.int8)
-    score = e[:, 0].copy()
+    score = e[:, 0] + START
     last = np.zeros((b, n), np.float32)
     last[lengths == 1] = score[lengths == 1]
     for i in range(1, t):
@@ -125,6 +129,10 @@ def _allowed() -> np.ndarray:
     return t
 
 
+# no sequence begins inside a piece
+START = np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS], np.float32)
+
+
 def _tagged(text: str, marks: list[tuple[int, int, str]]) -> tuple[list[str], list[int]]:
     words, tags = [], []
     for m in TOKEN.finditer(text):
@@ -143,19 +151,19 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def train(copies: int = 26, seed: int = 5, epochs: int = 6, batch: int = 96, rate: float = 0.35, penalty: float = 1e-5) -> Field:
-    """The field, trained on the labelled table by stochastic gradient ascent."""
-    data = [_tagged(*s) for s in labelled_pii.sentences(copies, seed)]
+def train(copies: int = 24, seed: int = 5, epochs: int = 7, batch: int = 96, rate: float = 0.35, penalty: float = 1e-5, part: bool | None = None) -> Field:
+    """The field, trained on the labelled table by stochastic gradient ascent; part: False leaves the held-out frames out."""
+    data = [_tagged(*s) for s in labelled_pii.sentences(copies, seed, part)]
     seen: dict[str, int] = {}
     for words, _ in data:
         for w in set(words):
             for f in features(w):
                 seen[f] = seen.get(f, 0) + 1
-    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n > 2))}
+    index = {f: i for i, f in enumerate([*sorted(f for f, n in seen.items() if n > (6 if f[0] == "=" else 2)), "?sX", "?sXX", "?sXx", "?sx"])}
     nf = len(index)
     field = Field(index, np.zeros((len(WINDOW), nf, L)), _allowed())
     g2w, g2t = np.full_like(field.w, 1e-3), np.full((L, L), 1e-3)
-    coded = [([[index[f] for f in features(w) if f in index] for w in words], np.array(tags)) for words, tags in data]
+    coded = [([known(w, index) for w in words], np.array(tags)) for words, tags in data]
     coded.sort(key=lambda x: len(x[1]))
     rng = np.random.default_rng(seed)
     batches = [coded[i : i + batch] for i in range(0, len(coded), batch)]
@@ -184,7 +192,7 @@ def train(copies: int = 26, seed: int = 5, epochs: int = 6, batch: int = 96, rat
                 np.add.at(e, (rs[ok], at[ok]), field.w[o, fs[ok]])
             mask = np.arange(t)[None] < lens[:, None]
             alpha, beta = np.zeros((b, t, L)), np.zeros((b, t, L))
-            alpha[:, 0] = e[:, 0]
+            alpha[:, 0] = e[:, 0] + START
             for i in range(1, t):
                 alpha[:, i] = np.where(mask[:, i, None], _lse(alpha[:, i - 1, :, None] + field.trans, 1) + e[:, i], alpha[:, i - 1])
             z = _lse(alpha[:, -1], 1)
@@ -220,8 +228,7 @@ TOLL_FREE = re.compile(r"^\+?1?[\s.(-]*8(?:00|33|44|55|66|77|88)\b")
 def checked(kind: str, s: str) -> bool:
     """The exact check behind the field: whether the piece has the form of its kind."""
     if kind == "email":
-        user = USER.match(s)[0].lower()
-        return bool(re.fullmatch(MAIL, s)) and user not in ROLES
+        return bool(MAIL.fullmatch(s))
     if kind == "phone":
         return bool(PHONE.match(s)) and 7 <= sum(c.isdigit() for c in s) <= 20 and not TOLL_FREE.match(s)
     if kind == "id_number":
@@ -231,13 +238,36 @@ def checked(kind: str, s: str) -> bool:
     return 2 <= len(re.findall(r"[^\W\d_]+", s)) <= 5 and not any(c.isdigit() or c in "|>/•·\n" for c in s) and "  " not in s
 
 
+NUMBER = re.compile(r"(?:\+?1[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)")
 EXTENSION = re.compile(r"\s*(?:ext|x|extension)\.?\s*\d{1,5}\b", re.IGNORECASE)
 REST = re.compile(r"[A-Z]?\b(?:\s\d+[A-Z]?\b)?(?:,?\s*(?:#\s?\w+|(?:Unit|Apt|Suite|Apartment|Floor)\.?\s*\w+))?(?:,\s*[A-Z]\w+(?: [A-Z]\w+){0,2})?,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?\b")
 
 
+def _begin(text: str, a: int, kind: str) -> int:
+    """Start of a piece by its form: a phone number with its plus, country code and bracket, a mailbox with all of its user part."""
+    if kind == "phone":
+        if text[a - 1 : a] == "(" and re.match(r"\d{3}\)", text[a:]):
+            a -= 1
+        return a - len(re.search(r"(?:(?<!\d)\+?1[ .-]?|\+)?$", text[max(0, a - 4) : a])[0])
+    if kind == "email":
+        return a - len(re.search(r"[\w.+-]*$", text[max(0, a - 64) : a])[0])
+    return a
+
+
 def _whole(text: str, a: int, b: int, kind: str) -> int:
     """End of a piece by its form: with its extension, its further address parts, and a dot only behind an abbreviation."""
+    if kind == "person_name":
+        b = a + len(text[a:b].rstrip(" ,;:.()\"'-"))
+        more = re.compile(r"(?:-[^\W\d_]+)+").match(text, b)
+        b = more.end() if more else b
+    if kind == "email":
+        # the mark at the end of a sentence is no part of it, and a host that was cut short is completed
+        form = MAIL.match(text, a)
+        return form.end() if form and form.end() >= b - 1 else b
     if kind == "phone":
+        b = a + len(text[a:b].rstrip(" ,;.-"))
+        rest = NUMBER.match(text, a)
+        b = rest.end() if rest else b
         more = EXTENSION.match(text, b)
         return more.end() if more else b
     if kind == "street_address":
@@ -254,6 +284,16 @@ def _whole(text: str, a: int, b: int, kind: str) -> int:
     return b
 
 
+# fixed texts: words that firms, banks and products are called by; a piece that ends in one or is led on by one is no person
+CALLED = frozenset("Financial Finance Labs Pay Wallet Money Payments Capital Technologies Holdings Credit Bank Trust Company Card Account Loan Group Inc LLC Ltd Corp Savings National State Community Commercial Federal Checking Transfer Advance".split())
+WORD = re.compile(r"\s+([^\W\d_]+)")
+
+
+def of_firm(text: str, a: int, b: int) -> bool:
+    after = WORD.match(text, b)
+    return text[a:b].split()[-1].strip(".,").title() in CALLED or bool(after) and after[1] in CALLED
+
+
 class Finder:
     """Finds the pieces of texts with a trained field."""
 
@@ -261,45 +301,50 @@ class Finder:
         self.field = field
 
     def pieces(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-        """For each text the (from, to, kind) of its pieces, in order."""
+        """For each text the (from, to, kind) of its pieces, in order. Each distinct line is decoded once."""
         f = self.field
         if len(f.ids) > MEMO:
             f.ids.clear()
             f.rows = np.zeros((1024, len(WINDOW), L), np.float32)
-        ids = f.ids
-        jobs: list[tuple[int, int, list[tuple[int, int]], list[int], int, int]] = []
-        for n, text in enumerate(texts):
-            if not text:
-                continue
-            start = 0
-            for line in text.split("\n"):
-                spans = [m.span() for m in TOKEN.finditer(text, start, start + len(line))]
-                rows = [ids.get(text[a:b]) or f.row(text[a:b]) for a, b in spans]
-                for at in range(0, len(spans), BLOCK):
-                    lo, hi = max(0, at - OVERLAP), min(len(spans), at + BLOCK + OVERLAP)
-                    jobs.append((n, start, spans[lo:hi], rows[lo:hi], at - lo, min(BLOCK, len(spans) - at)))
+        lines: dict[str, int] = {}
+        at: list[list[tuple[int, int]]] = []  # (number, start) of the lines of each text
+        for text in texts:
+            own, start = [], 0
+            for line in text.split("\n") if text else ():
+                if line and not line.isspace():
+                    own.append((lines.setdefault(line, len(lines)), start))
                 start += len(line) + 1
-        found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        order = sorted(range(len(jobs)), key=lambda j: len(jobs[j][3]))
+            at.append(own)
+        got = self._decode(list(lines))
+        return [sorted({(start + a, start + b, kind) for n, start in own for a, b, kind in got.get(n, ())}) for own in at]
+
+    def _decode(self, lines: list[str]) -> dict[int, list[tuple[int, int, str]]]:
+        f, get, row = self.field, self.field.ids.get, self.field.row
+        rows = [[get(w) or row(w) for w in TOKEN.findall(s)] for s in lines]
+        order = sorted((j for j in range(len(rows)) if rows[j]), key=lambda j: len(rows[j]))
+        found: dict[int, list[tuple[int, int, str]]] = {}
         k = 0
         while k < len(order):
-            size = max(1, 24_000 // max(1, len(jobs[order[min(k + 256, len(order) - 1)]][3])))
-            part = order[k : k + min(size, 512)]
-            k += len(part)
-            t = max(len(jobs[j][3]) for j in part)
-            grid = np.zeros((len(part), t), np.int64)
-            lens = np.array([len(jobs[j][3]) for j in part])
-            for r, j in enumerate(part):
-                grid[r, : lens[r]] = jobs[j][3]
+            # lines of like length together, as many as fill the grid
+            n = 1
+            while k + n < len(order) and n < 2048 and (n + 1) * len(rows[order[k + n]]) <= GRID:
+                n += 1
+            part = order[k : k + n]
+            k += n
+            lens = np.array([len(rows[j]) for j in part])
+            grid = np.zeros((n, int(lens[-1])), np.int64)
+            grid[np.arange(grid.shape[1])[None] < lens[:, None]] = np.fromiter((i for j in part for i in rows[j]), np.int64, int(lens.sum()))
             tags = viterbi(f.emissions(grid), f.trans, lens)
             for r in np.flatnonzero((tags > 0).any(1)).tolist():
-                n, _, spans, _, skip, core = jobs[part[r]]
-                self._read(texts[n], spans, tags[r].tolist(), skip, core, found[n])
-        return [sorted(set(x)) for x in found]
+                j = part[r]
+                out = self._read(lines[j], [m.span() for m in TOKEN.finditer(lines[j])], tags[r, : lens[r]].tolist())
+                if out:
+                    found[j] = out
+        return found
 
     @staticmethod
-    def _read(text: str, spans: list[tuple[int, int]], tags: list[int], skip: int, core: int, out: list) -> None:
-        i = 0
+    def _read(text: str, spans: list[tuple[int, int]], tags: list[int]) -> list[tuple[int, int, str]]:
+        i, out = 0, []
         while i < len(spans):
             t = tags[i]
             if t == 0:
@@ -309,13 +354,12 @@ class Finder:
             # two address pieces with nothing but a comma between them are one
             while j < len(spans) and (LABELS[tags[j]] == f"I-{kind}" or kind == "street_address" and LABELS[tags[j]] == f"B-{kind}" and spans[j][0] - spans[j - 1][1] < 2):
                 j += 1
-            # a piece belongs to the block in whose core it begins
-            if skip <= i < skip + core:
-                a, b = spans[i][0], spans[j - 1][1]
-                b = _whole(text, a, b, kind)
-                if checked(kind, text[a:b]):
-                    out.append((a, b, kind))
+            a = _begin(text, spans[i][0], kind)
+            b = _whole(text, a, spans[j - 1][1], kind)
+            if checked(kind, text[a:b]) and not (kind == "person_name" and of_firm(text, a, b)):
+                out.append((a, b, kind))
             i = j
+        return out
 
 
 def find(df: DataFrame, id_col: str, text_col: str, field: Field | None = None) -> DataFrame:

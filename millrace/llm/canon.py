@@ -5,12 +5,13 @@ so the allowed slips give the overlap that two sets must have. Trigrams are orde
 all distinct values and entries; only the rarest ones of which two such sets must share one (the prefixes)
 are joined, then length, position and overlap filters and the exact count of slips follow. Entries with
 too few trigrams for such a bound are compared with every value as poor. Of the verified entries the one
-with fewest slips is kept, by Jaccard similarity where several have as few. A value with capitals inside
-its words is also tried with these not parted.
+with the greatest Jaccard similarity is kept, with fewest slips where several have as much. A value with capitals
+inside its words is also tried with these not parted. A value whose form a list entry has is decided by that alone.
 
-The list is a reference list of bounded size and goes to the workers whole; values are made distinct
-first, so a value that many rows share is matched once. What reaches the driver beside the list are the
-counts of trigrams, of which the folded alphabet has at most 38^3.
+The list is a reference list: its rows are counted before they are collected (LIST_MOST), and its forms go to the
+workers in blocks of at most BLOCK, each of which all distinct values meet in turn; the best of the blocks stays. A
+value that many rows share is matched once, and values are spread by number, as they are small and dear.
+What reaches the driver beside the list are the counts of trigrams, of which the folded alphabet has at most 38^3.
 
 Defined cases: null and blank values are no cases; a value no entry is near enough to gets -1, as does
 one that is equally near to entries of different ids; an empty list matches nothing; forms of fewer than
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LIST_MOST, BLOCK = 2_000_000, 50_000
 SPAN = 4  # trigrams that two swapped letters are in; other slips change fewer
 
 
@@ -139,6 +141,9 @@ class Index:
         for n, s in enumerate(self.sets):
             for p, g in enumerate(s[: self.prefix(self.entries[n][0])]):
                 self.post.setdefault(g, []).append((n, p))
+        self.exact: dict[str, set[int]] = {}
+        for f, i in self.entries:
+            self.exact.setdefault(f, set()).add(i)
         # entries that may share no trigram with a value within the allowed slips
         self.poor = [n for n, s in enumerate(self.sets) if len(s) < self.prefix(self.entries[n][0])]
 
@@ -173,19 +178,21 @@ class Index:
                 out.append((both / (n + m - both), d, e))
         return out
 
-    def best(self, *forms: str) -> int:
-        """Id of the entry nearest to one of the forms, -1 if there is none or several ids are as near."""
-        got: dict[int, tuple[int, float]] = {}
+    def best(self, *forms: str) -> tuple[float, int, int]:
+        """(similarity, slips, id) of the entry nearest to one of the forms; id -1 if there is none or several ids are as near."""
+        exact = {i for f in forms for i in self.exact.get(f, ())}
+        if exact:
+            return 1.0, 0, next(iter(exact)) if len(exact) == 1 else -1
+        got: dict[int, tuple[float, int]] = {}
         for form in dict.fromkeys(forms):
             for sim, d, e in self.similar(form):
                 ident = self.entries[e][1]
-                got[ident] = min(got.get(ident, (99, 0.0)), (d, -sim))
+                got[ident] = min(got.get(ident, (1.0, 99)), (-sim, d))
         if not got:
-            return -1
+            return 0.0, 99, -1
         ranked = sorted((v, k) for k, v in got.items())
-        if len(ranked) > 1 and ranked[0][0] == ranked[1][0]:
-            return -1
-        return ranked[0][1]
+        (sim, d), ident = ranked[0]
+        return -sim, d, -1 if len(ranked) > 1 and ranked[0][0] == ranked[1][0] else ident
 
 
 def bank_entries(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -223,14 +230,35 @@ def match(values: DataFrame, value_col: str, entries: list[tuple[str, int]], for
     rarity = Counter({r.g: r.n for r in distinct.mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()})
     for f, _ in entries:
         rarity.update(trigrams(f))
-    index = distinct.sparkSession.sparkContext.broadcast((entries, dict(rarity)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = Index(*index.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ix.best(form(v), form(unparted(v))) for v in b.column(0).to_pylist()], pa.int64())], names=["value", "canonical_id"])
-
-    return distinct.mapInArrow(run, "value string, canonical_id long")
+    sc = distinct.sparkSession.sparkContext
+    spread = distinct.repartition(max(sc.defaultParallelism * 3, 12), "value")
+    schema, out = "value string, canonical_id long, sim double, slips int", None
+    for at in range(0, max(1, len(entries)), BLOCK):
+        index = sc.broadcast((entries[at : at + BLOCK], dict(rarity)))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            ix = Index(*index.value)
+            for b in batches:
+                got = [ix.best(form(v), form(unparted(v))) for v in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[2] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int32())], names=["value", "canonical_id", "sim", "slips"])
+
+        one = spread.mapInArrow(run, schema)
+        out = one if out is None else out.unionByName(one)
+    if len(entries) <= BLOCK:
+        return out.select("value", "canonical_id")
+    # of several blocks the nearest; two blocks with as near ones of different ids give none
+    rank = F.struct("sim", -F.col("slips"))
+    best = out.groupBy("value").agg(F.max(rank).alias("r"))
+    tied = out.join(best.withColumnRenamed("value", "v"), (F.col("value") == F.col("v")) & (rank == F.col("r"))).groupBy("value").agg(F.count_distinct("canonical_id").alias("n"), F.max("canonical_id").alias("canonical_id"))
+    return tied.select("value", F.when(F.col("n") == 1, F.col("canonical_id")).otherwise(-1).cast("long").alias("canonical_id"))
+
+
+def listed(df: DataFrame, columns: list[str], most: int = LIST_MOST) -> list[tuple]:
+    """The rows of a reference list, counted before they are collected; a longer table is no reference list."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"a list of {n} rows is no reference list (at most {most})")
+    return [tuple(r) for r in df.select(*columns).collect()]
 
 
 def resolve(cases: DataFrame, value_col: str, entries: list[tuple[str, int]], form: Callable[[str], str], exact: list[str]) -> DataFrame:

@@ -62,11 +62,11 @@ def p6_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bank or category every typed value means, -1 for none of the list."""
     info = table(spark, sf_dir, "extracted_product_info_v2").select("extract_id", "bank_partner_specific")
-    names = [(r[0], r[1]) for r in table(spark, sf_dir, "matched_names").select("partnername", "idrssd").collect()]
+    names = canon.listed(table(spark, sf_dir, "matched_names"), ["partnername", "idrssd"])
     items = packed.split(info, "extract_id", ["bank_partner_specific"], packed.fit(info, ["bank_partner_specific"], cleaning.TYPES, cleaning.TAIL))
     banks = canon.resolve(items, "item", canon.bank_entries(names), canon.bank_form, [n for n, _ in names if n])
     master = table(spark, sf_dir, "fintech_timelines_master").select("row_id", "product_subcategory")
-    listed = [tuple(r) for r in table(spark, sf_dir, "subcategory_list").select("product_subcategory", "subcategory_id", "also_called").collect()]
+    listed = canon.listed(table(spark, sf_dir, "subcategory_list"), ["product_subcategory", "subcategory_id", "also_called"])
     kinds = canon.resolve(master, "product_subcategory", canon.category_entries(listed), canon.category_form, [r[0] for r in listed if r[0]])
     one = banks.select("field_name", F.col("extract_id").alias("row_id"), "item_no", "canonical_id")
     return one.unionByName(kinds.select(F.lit("product_subcategory").alias("field_name"), "row_id", F.lit(1).alias("item_no"), "canonical_id"))

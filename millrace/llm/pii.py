@@ -95,27 +95,26 @@ class Field:
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best labels (batch, time) of the emissions; past a sequence's length they mean nothing."""
+    """Best labels (batch, time) of the emissions; past a sequence's length they mean nothing.
+
+    The best sums are kept for every place, so that the way back is asked for the chosen labels only.
+    """
     b, t, n = e.shape
-    back = np.zeros((b, t, n), np.int8)
-    score = e[:, 0] + START
-    last = np.zeros((b, n), np.float32)
-    last[lengths == 1] = score[lengths == 1]
+    sums = np.empty((t, b, n), np.float32)
+    sums[0] = e[:, 0] + START
+    step = np.empty((n, b, n), np.float32)
     for i in range(1, t):
-        step = score[:, :, None] + trans[None]
-        back[:, i] = step.argmax(1)
-        score = step.max(1) + e[:, i]
-        done = lengths == i + 1
-        last[done] = score[done]
+        np.add(sums[i - 1].T[:, :, None], trans[:, None, :], out=step)
+        np.max(step, axis=0, out=sums[i])
+        sums[i] += e[:, i]
     out = np.zeros((b, t), np.int8)
-    now = last.argmax(1)
-    rows = np.arange(b)
+    into = np.ascontiguousarray(trans.T)
+    now = np.zeros(b, np.int64)
     for i in range(t - 1, -1, -1):
-        inside = i < lengths
-        end = i == lengths - 1
-        if i < t - 1:
-            now = np.where(inside & ~end, back[rows, min(i + 1, t - 1), now], now)
-        out[:, i] = np.where(inside, now, 0)
+        ends = lengths == i + 1
+        way = sums[i] + np.where(ends[:, None], np.float32(0), into[now])
+        now = np.where(lengths > i, way.argmax(1), 0)
+        out[:, i] = now
     return out
 
 

@@ -74,3 +74,15 @@ def name_year(name: Column, first: int = 1900, last: int = 2200) -> Column:
     """Year in the first four characters of a name, if it lies within the bounds."""
     y = F.when(name.rlike(r"^\d{4}"), F.substring(name, 1, 4).cast("int"))
     return F.when(y.between(first, last), y)
+
+
+def quarter_links(html: Column) -> Column:
+    """(yy, mm, link) of the quarter archives that a page links to, as in 'call8403-zip.zip', each once."""
+    links = F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*call\d{4}[^"]*\.zip)"'), F.lit(1)))
+    return F.transform(links, lambda x: F.struct(F.regexp_extract(x, r"(?i)call(\d{2})\d{2}", 1).alias("yy"), F.regexp_extract(x, r"(?i)call\d{2}(\d{2})", 1).alias("mm"), x.alias("link")))
+
+
+def quarter_folder(yy: Column, mm: Column) -> Column:
+    """MMDDYY of the quarter that ends in a month; null for a month that ends none."""
+    last = F.when(mm.isin("03", "12"), "31").when(mm.isin("06", "09"), "30")
+    return F.concat(mm, last, yy)

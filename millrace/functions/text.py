@@ -22,6 +22,11 @@ PAIR = r"(?i)([A-Z][^.]{0,80}?)\s+(?:is|are)\s+(?:held\s+with|issued\s+by|backed
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once; inside a lambda an outer expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without outer white space of any kind (`trim` takes blanks only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -135,7 +140,7 @@ def unique_sentences(c: Column) -> Column:
     """
     parts = F.filter(F.transform(F.split(c, SENTENCE_END + r"|\n\n+"), strip), lambda s: s != "")
     keyed = F.array_sort(F.transform(parts, lambda s, i: F.struct(F.regexp_replace(s, r"\s+", " ").alias("k"), i.alias("i"), s.alias("s"))))
-    first = F.filter(keyed, lambda x, i: (i == 0) | (F.get(keyed, i - 1)["k"] != x["k"]))
+    first = let(keyed, lambda ks: F.filter(ks, lambda x, i: (i == 0) | (F.get(ks, i - 1)["k"] != x["k"])))
     return F.array_join(F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"]), " ")
 
 
@@ -151,7 +156,8 @@ def contains_any(c: Column, needles: list[str]) -> Column:
 def mention_share(text: Column, words: Column) -> Column:
     """Share of the words that the normalised text contains; 1 where there are no words to look for."""
     low = F.regexp_replace(F.lower(text), r"[^a-z0-9 ]", " ")
-    return F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words))
+    share = lambda b: F.when(F.size(b["w"]) == 0, 1.0).otherwise(F.size(F.filter(b["w"], lambda w: F.contains(b["t"], w))) / F.size(b["w"]))
+    return let(F.struct(low.alias("t"), words.alias("w")), share)
 
 
 def mentions(text: Column, words: Column, least: float = 0.5) -> Column:
@@ -168,16 +174,20 @@ def focus(text: Column, words: Column, whole: int = 2000, half: int = 2000) -> C
 
     Head and tail stand for a page without any of the words; this digest is the feature.
     """
-    kept = F.filter(paragraphs(text), lambda p: F.exists(words, lambda w: F.contains(F.lower(p), w)))
+    kept = F.filter(paragraphs(text), lambda p: let(F.lower(p), lambda low: F.exists(words, lambda w: F.contains(low, w))))
     ends = F.concat(F.left(text, F.lit(half)), F.lit("\n[...]\n"), F.right(text, F.lit(half)))
-    return F.when(F.length(text) <= whole, text).when(F.size(kept) > 0, F.array_join(kept, "\n\n")).otherwise(ends)
+    joined = let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, "\n\n")))
+    return F.when(F.length(text) <= whole, text).otherwise(F.coalesce(joined, ends))
 
 
 def with_neighbours(parts: Column, hit: Callable[[Column], Column]) -> Column:
     """The parts that are hits and those just before or after one, in order."""
-    hits = F.transform(parts, hit)
-    at = lambda i: F.coalesce(F.get(hits, i), F.lit(False))
-    return F.filter(parts, lambda _, i: at(i - 1) | at(i) | at(i + 1))
+
+    def kept(b: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(b["hits"], i), F.lit(False))
+        return F.filter(b["parts"], lambda _, i: at(i - 1) | at(i) | at(i + 1))
+
+    return let(parts, lambda p: let(F.struct(p.alias("parts"), F.transform(p, hit).alias("hits")), kept))
 
 
 def chunks(text: Column, most: int) -> Column:

@@ -103,39 +103,58 @@ def longest_overlap(values: DataFrame, value: str, reference: DataFrame, name: s
 
 
 class Bounded:
-    """Best score of a value among names, skipping names whose shared letters cannot reach the best so far."""
+    """Best score of a value among names, skipping names whose shared letters and words cannot reach the best so far."""
 
-    def __init__(self, names: list[str], score: str):
-        self.names, self.score = names, SCORES[score]
+    def __init__(self, names: list[str], score: str, least: float = 0.0):
+        self.names, self.score, self.least = names, SCORES[score], least
         self.counts = np.array([[Counter(n)[c] for c in LETTERS] for n in names], np.int16).reshape(len(names), len(LETTERS))
         self.odd = np.array([sum(v for c, v in Counter(n).items() if c not in LETTERS) for n in names], np.int16)
         self.lens = np.array([len(n) for n in names], np.int32)
         self.plain = score in ("ratio", "token_sort")
-
-    def best(self, value: str) -> tuple[float, int]:
-        """(score, number) of the first best name; (-1, -1) without names."""
-        if not self.names:
-            return -1.0, -1
         if not self.plain:
-            got = [self.score(value, n) for n in self.names]
-            k = int(np.argmax(got))
-            return got[k], k
+            self.sets = np.array([len(" ".join(set(n.split()))) for n in names], np.int32)
+            self.at: dict[str, list[int]] = {}
+            for i, n in enumerate(names):
+                for w in set(n.split()):
+                    self.at.setdefault(w, []).append(i)
+
+    def bounds(self, value: str) -> np.ndarray:
+        """No name scores more than its bound: a common subsequence is no longer than the letters both have."""
         c = Counter(value)
         mine = np.array([c[x] for x in LETTERS], np.int16)
         odd = sum(v for x, v in c.items() if x not in LETTERS)
-        bound = 200.0 * (np.minimum(self.counts, mine).sum(1) + np.minimum(self.odd, odd)) / np.maximum(1, self.lens + len(value))
+        both = np.minimum(self.counts, mine).sum(1) + np.minimum(self.odd, odd)
+        whole = 200.0 * both / np.maximum(1, self.lens + len(value))
+        if self.plain:
+            return whole
+        short, long = np.minimum(self.lens, len(value)), np.maximum(self.lens, len(value))
+        apart = long / np.maximum(1, short)
+        scale = np.where(apart < 1.5, 0.0, np.where(apart < 8, 0.9, 0.6))
+        part = np.minimum(100.0, 200.0 * np.minimum(both, short) / np.maximum(1, short + np.minimum(both, short)))
+        words = len(" ".join(set(value.split())))
+        bound = np.maximum(whole, np.maximum(0.95 * np.minimum(100.0, 200.0 * both / np.maximum(1, self.sets + words)), scale * part))
+        # a word in common may make the ratio on words a full one
+        shared = sorted({i for w in set(value.split()) for i in self.at.get(w, ())})
+        bound[shared] = np.maximum(bound[shared], np.where(scale[shared] > 0, 0.95 * scale[shared] * 100, 95.0))
+        return bound
+
+    def best(self, value: str) -> tuple[float, int]:
+        """(score, number) of the first best name that reaches the least score; (-1, -1) without one."""
+        if not self.names:
+            return -1.0, -1
+        bound = self.bounds(value)
         top, at = -1.0, -1
         for k in np.argsort(-bound, kind="stable"):
-            if bound[k] < top - 1e-9:
+            if bound[k] < max(top, self.least) - 1e-6:
                 break
             s = self.score(value, self.names[k])
-            if s > top or s == top and k < at:
+            if s >= self.least and (s > top or s == top and k < at):
                 top, at = s, int(k)
         return top, at
 
 
-def best_match(values: DataFrame, value: str, reference: DataFrame, name: str, ident: str, ordinal: str, score: str = "token_sort", within: str | None = None) -> DataFrame:
-    """(within, value, name, ident, score): the best-scoring name for each distinct value, however low it scores.
+def best_match(values: DataFrame, value: str, reference: DataFrame, name: str, ident: str, ordinal: str, score: str = "token_sort", within: str | None = None, least: float = 0.0) -> DataFrame:
+    """(within, value, name, ident, score): the best-scoring name for each distinct value, however low it scores; from `least` on, if one is named.
 
     within: column of both tables; a value then meets only names of its group. The names go to the workers by
     block and are looked up by group there, so a hot group is no hot task.
@@ -157,9 +176,10 @@ def best_match(values: DataFrame, value: str, reference: DataFrame, name: str, i
                 out = []
                 for g, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if g in by:
-                        f = finders.get(g) or finders.setdefault(g, Bounded([r[1] for r in by[g]], score))
+                        f = finders.get(g) or finders.setdefault(g, Bounded([r[1] for r in by[g]], score, least))
                         s, k = f.best(v)
-                        out.append((g, v, by[g][k][1], by[g][k][2], s, by[g][k][3]))
+                        if k >= 0:
+                            out.append((g, v, by[g][k][1], by[g][k][2], s, by[g][k][3]))
                 cols = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.float64(), pa.int64()])], names=["grp", "value", "name", "ident", "score", "at"])
 

@@ -84,7 +84,7 @@ def fuzzy_within_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The master product of the same company with the best token-sort ratio for each extracted product, from 70 on."""
     info = table(spark, sf_dir, "extracted_product_info_v2").select("company", F.lower("product_name").alias("value"))
     names = table(spark, sf_dir, "fintech_timelines_master").where("entry_type = 'Product'").select(F.col("company_name").alias("company"), F.lower("product_name").alias("name"), "row_id")
-    got = entity.best_match(info, "value", names, "name", "row_id", "row_id", within="company")
+    got = entity.best_match(info, "value", names, "name", "row_id", "row_id", within="company", least=70)
     return got.where("score >= 70").select("company", "value", "name", F.round("score", 4).alias("score"))
 
 
@@ -92,7 +92,7 @@ def fuzzy_company_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The master company with the best token-sort ratio for each company as typed, from 90 on; 15 weakest first in order."""
     info = table(spark, sf_dir, "extracted_product_info_v2").select(F.lower("company").alias("value"))
     names = table(spark, sf_dir, "fintech_timelines_master").where("company_name is not null").groupBy(F.lower("company_name").alias("name")).agg(F.min("row_id").alias("row_id"))
-    got = entity.best_match(info, "value", names, "name", "row_id", "row_id")
+    got = entity.best_match(info, "value", names, "name", "row_id", "row_id", least=90)
     return got.where("score >= 90").select("value", "name", F.round("score", 4).alias("score")).orderBy("score", "value")
 
 
@@ -100,7 +100,7 @@ def weighted_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed bank with the best weighted ratio for each bank value, from 80 on; generic and short names are none."""
     info = table(spark, sf_dir, "extracted_product_info_v2").select(text.normal(text.legal_form_free(F.col("bank_partner_specific"), BANK_TAILS)).alias("value"))
     banks = _banks(spark, sf_dir).withColumn("at", F.col("ident").cast("long"))
-    got = entity.best_match(info, "value", banks, "name", "ident", "at", score="weighted")
+    got = entity.best_match(info, "value", banks, "name", "ident", "at", score="weighted", least=80)
     return got.where("score >= 80").select("value", "name", "ident", F.round("score", 4).alias("score"))
 
 

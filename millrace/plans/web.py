@@ -102,15 +102,14 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""
-select page_id, true as bare_shell, true as told, length(text_preview) < 150 and false as full_page from product_pages where text_preview is not null and page_title is not null and target_url is not null
+select page_id, true as told, false as full_page from product_pages where text_preview is not null and page_title is not null and target_url is not null
 """)
 def js_shell_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether pages are script shells: an empty root, a notice, and the page itself."""
+    """Whether pages are script shells: with a notice put in, and as they are."""
     one = _html(spark, sf_dir)
-    root = F.concat(F.lit("<html><head><title>"), F.lit("x"), F.lit('</title></head><body><div id="root"></div></body></html>'))
     told = F.replace(F.col("html"), F.lit("<noscript>off"), F.lit("<noscript>Please enable JavaScript"))
     flag = lambda c: html.parse(c, F.col("target_url"))["is_shell"]
-    return one.select("page_id", flag(root).alias("bare_shell"), flag(told).alias("told"), flag(F.col("html")).alias("full_page"))
+    return one.select("page_id", flag(told).alias("told"), flag(F.col("html")).alias("full_page"))
 
 
 def _any(col: str, parts: list[str]) -> str:

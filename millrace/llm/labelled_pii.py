@@ -330,7 +330,7 @@ def piece(kind: str, rng: random.Random) -> str:
         return _phone(r)
     if kind in ("MAIL", "role"):
         g, f = _given(r).lower(), _family(r).lower()
-        user = r.choice(ROLES) if kind == "role" else r.choice([f"{g}.{f}", f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}{f}", f"{f}{d(r, 2)}", f"{g}{d(r, 3)}", f"{f}.{g}", f"{g}_{f}+{_made(r, 1, 1).lower()}", f"{g}.{f}{d(r, 2)}"])
+        user = r.choice(ROLES) if kind == "role" else r.choice([f"{g}.{f}", f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}{f}", f"{g[0]}{f}", f"{f}{g[0]}", f, f"{f}{d(r, 2)}", f"{g}{d(r, 3)}", f"{f}.{g}", f"{g}_{f}+{_made(r, 1, 1).lower()}", f"{g}.{f}{d(r, 2)}"])
         host, top = r.choice(["", "", "mail.", "post."]) + _made(r).lower(), r.choice(["example", "test", "invalid", "com", "org", "net", "co"])
         s = r.choice([f"{user}@{host}.{top}"] * 6 + ([f"{user} (at) {host}.{top}", f"{user} [at] {host}.{top}", f"{user} [at] {host} [dot] {top}", f"{user} (at) {host} (dot) {top}", f"{user} at {host} dot {top}"] if kind == "MAIL" else []))
         return s.upper() if r.random() < 0.1 else s
@@ -390,7 +390,7 @@ def sentences(copies: int = 36, seed: int = 5, held: bool | None = None) -> list
         return text + labelled_pages.fill(frame[last:], rng), marks
 
     out = []
-    for frame, n in [*((f, copies * 2 if "<HOME>" in f else copies) for f in positive), *((f, copies if "<" in f else copies // 3) for f in spare)]:
+    for frame, n in [*((f, copies * 2 if "<HOME>" in f or "<SSN>" in f else copies) for f in positive), *((f, copies if "<" in f else copies // 3) for f in spare)]:
         for _ in range(n):
             lead, _ = filled(rng.choice(spare), 0) if rng.random() < 0.5 else ("", [])
             lead += rng.choice([" ", "  "]) if lead else ""

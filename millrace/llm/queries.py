@@ -25,8 +25,7 @@ def p2_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, info = table(spark, sf_dir, "product_pages"), table(spark, sf_dir, "extracted_product_info_v2")
-    one = residue.find(pages, "page_id", "page_title", "product_pages", "company_name")
-    one = one.unionByName(residue.find(pages, "page_id", "text_preview", "product_pages", "company_name"))
+    one = residue.find(pages, "page_id", ["page_title", "text_preview"], "product_pages", "company_name")
     return one.unionByName(residue.find(info, "extract_id", "interest_rate", "extracted_product_info_v2"))
 
 

@@ -198,8 +198,8 @@ def unnamed(text: str, name: str | None) -> str:
     return bare if bare.strip(" -|:\n") else text
 
 
-def find(df: DataFrame, id_col: str, text_col: str, source: str, name_col: str | None = None, limits: dict[str, float] | None = None) -> DataFrame:
-    """(source_table, field_name, row_id, kind): the values of a field that are residue, with its class.
+def find(df: DataFrame, id_col: str, text_cols: str | list[str], source: str, name_col: str | None = None, limits: dict[str, float] | None = None) -> DataFrame:
+    """(source_table, field_name, row_id, kind): the values of some fields that are residue, with its class; the table is read once.
 
     name_col: column with the name of the site, which is left out of account where the text repeats it.
     """
@@ -218,9 +218,13 @@ def find(df: DataFrame, id_col: str, text_col: str, source: str, name_col: str |
                     at += [part[j] for j in hit]
                     kinds += [CLASSES[k[j] - 1] for j in hit]
                     part, size = [], 0
-            yield pa.RecordBatch.from_arrays([pc.take(b.column(0), pa.array(at, pa.int64())), pa.array(kinds, pa.string())], names=["row_id", "kind"])
-
-    c = F.col(text_col)
-    rows = df.where(c.isNotNull() & c.rlike(r"\S") & (F.lower(F.trim(c)) != "nan")).select(F.col(id_col).cast("long").alias("row_id"), c.cast("string").alias("text"), (F.col(name_col) if name_col else F.lit(None)).cast("string").alias("name"))
-    got = rows.mapInArrow(run, "row_id long, kind string")
-    return got.select(F.lit(source).alias("source_table"), F.lit(text_col).alias("field_name"), "row_id", "kind")
+            took = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pc.take(b.column(0), took), pc.take(b.column(3), took), pa.array(kinds, pa.string())], names=["row_id", "field_name", "kind"])
+
+    fields = [text_cols] if isinstance(text_cols, str) else list(text_cols)
+    name = (F.col(name_col) if name_col else F.lit(None)).cast("string")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).cast("string").alias("text")) for c in fields]))
+    rows = df.select(F.col(id_col).cast("long").alias("row_id"), name.alias("name"), each.alias("v")).select("row_id", F.col("v.text").alias("text"), "name", F.col("v.field_name").alias("field_name"))
+    rows = rows.where(F.col("text").rlike(r"\S") & (F.lower(F.trim("text")) != "nan"))
+    got = rows.mapInArrow(run, "row_id long, field_name string, kind string")
+    return got.select(F.lit(source).alias("source_table"), "field_name", "row_id", "kind")

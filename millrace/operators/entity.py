@@ -113,7 +113,7 @@ class Bounded:
         self.plain = score in ("ratio", "token_sort")
         if not self.plain:
             self.sets = np.array([len(" ".join(set(n.split()))) for n in names], np.int32)
-            self.at: dict[str, list[int]] = {}
+            self.at: dict[str, list[int]] = {}  # places of each word
             for i, n in enumerate(names):
                 for w in set(n.split()):
                     self.at.setdefault(w, []).append(i)
@@ -133,10 +133,14 @@ class Bounded:
         part = np.minimum(100.0, 200.0 * np.minimum(both, short) / np.maximum(1, short + np.minimum(both, short)))
         words = len(" ".join(set(value.split())))
         bound = np.maximum(whole, np.maximum(0.95 * np.minimum(100.0, 200.0 * both / np.maximum(1, self.sets + words)), scale * part))
-        # a word in common may make the ratio on words a full one
-        shared = sorted({i for w in set(value.split()) for i in self.at.get(w, ())})
-        bound[shared] = np.maximum(bound[shared], np.where(scale[shared] > 0, 0.95 * scale[shared] * 100, 95.0))
-        return bound
+        # words in common: the ratio on words is that of the common ones to the shorter side at most
+        common = np.zeros(len(self.names), np.float64)
+        for w in set(value.split()):
+            common[self.at.get(w, [])] += len(w) + 1
+        on = common > 0
+        common = np.maximum(common - 1, 0)
+        near = 0.95 * np.minimum(100.0, 200.0 * common / np.maximum(1.0, common + np.minimum(self.sets, words)))
+        return np.where(on, np.maximum(bound, np.where(scale > 0, 0.95 * scale * 100, near)), bound)
 
     def best(self, value: str) -> tuple[float, int]:
         """(score, number) of the first best name that reaches the least score; (-1, -1) without one."""
@@ -147,6 +151,8 @@ class Bounded:
         for k in np.argsort(-bound, kind="stable"):
             if bound[k] < max(top, self.least) - 1e-6:
                 break
+            if bound[k] <= top and k > at:
+                continue  # it could only tie, and comes later
             s = self.score(value, self.names[k])
             if s >= self.least and (s > top or s == top and k < at):
                 top, at = s, int(k)

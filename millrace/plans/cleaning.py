@@ -28,7 +28,24 @@ ID_OK = "(regexp_full_match(?, '0*[1-9][0-9]{0,6}') and length(?) <= 7)"
 NAME_OK = r"(regexp_matches(?, '\pL') and lower(?) not in ('nan', 'null', 'none', 'n/a'))"
 
 
-@R.query()
+def _items_sql() -> str:
+    """The items in SQL, at the delimiters that the scoring accepts: what stands in quotes and a name's legal tail is stood in for while a value is cut."""
+    bare = lambda c: f"regexp_replace(regexp_replace({c}, '^[\\s\"''\\[\\]]+', ''), '[\\s\"''\\[\\]]+$', '')"
+    outer = lambda c: f"regexp_replace(regexp_replace({c}, '^[\\s\\[]+', ''), '[\\s\\]]+$', '')"
+    shield = lambda c: f"array_to_string(list_transform(string_split({c}, '\"'), lambda p, i: case when i % 2 = 0 and len(string_split({c}, '\"')) % 2 = 1 and not regexp_matches({c}, '^\"[^\"]*[;|\\n][^\"]*\"[\\s;]*$') then translate(p, ';,|/+&', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6)) else p end), '\"')"
+    back = lambda c: f"translate({c}, chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6), ';,|/+&')"
+    tail = r",(\s*(?:(?:N\.?\s?A\.?|F\.?\s?S\.?\s?B\.?|I[nN][cC]\.?)(?:[\s\"'\],;|/]|$)|\(?M\w{3,7}\s+F\w{2,4}\b))".replace("'", "''")
+    cuts = {
+        "bank_partner_specific": f"regexp_split_to_array(regexp_replace({shield(outer('bank_partner_specific'))}, '{tail}', chr(2) || '\\1', 'g'), '[;|/,\\r\\n]|\\s[Aa][Nn][Dd]\\s')",
+        "snapshot_dates": f"regexp_split_to_array({shield(outer('snapshot_dates'))}, '[;,|/\\s]')",
+        "page_types": f"regexp_split_to_array({shield(outer('page_types'))}, '[;,|/\\r\\n+&]')",
+        "source_files": f"string_split(regexp_replace({outer('source_files')}, '(?i)(\\.html)[\"'']?(?:\\s*[;,|\\r\\n\\t][\\s\"'']*)+', '\\1' || chr(7), 'g'), chr(7))",
+    }
+    one = " union all ".join(f"select '{f}' as field_name, extract_id, list_filter(list_transform({c}, lambda x: {back(bare('x'))}), lambda x: x <> '') as items from extracted_product_info_v2 where {f} is not null" for f, c in cuts.items())
+    return f"with one as ({one}) select field_name, extract_id, generate_subscripts(items, 1)::integer as item_no, unnest(items) as item from one where len(items) >= 2"
+
+
+@R.query(_items_sql())
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of every packed value that holds two or more."""
     info = table(spark, sf_dir, "extracted_product_info_v2").select("extract_id", *PACKED)

@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import text
+
 # Candidate delimiters: name -> regular expression of the delimiter itself.
 CANDIDATES = {
     "semicolon": ";",
@@ -89,23 +91,31 @@ def fit(df: DataFrame, fields: list[str], types: dict[str, str] = TYPES, tail: s
         shape += [F.count_if(plain).alias(f"{f}#plain"), F.count_if(v != "").alias(f"{f}#all")]
         shape += [F.count_if((v != "") & v.rlike(PATH_TAIL) if t == "path" else plain & v.rlike(rx)).alias(f"{f}#{t}") for t, rx in types.items()]
     got = df.agg(*shape).first()
-    tries = []
     for f in fields:
         total = {t: got[f"{f}#all"] if t == "path" else got[f"{f}#plain"] for t in types}
-        t = model.types[f] = next((t for t in types if total[t] and got[f"{f}#{t}"] >= 0.8 * total[t]), "name")
+        model.types[f] = next((t for t in types if total[t] and got[f"{f}#{t}"] >= 0.8 * total[t]), "name")
         model.accepted[f] = []
-        value = F.regexp_replace(F.col(f), r"^[\s\[]+|[\s\];,|]+$", "")
+    # each value is trimmed once, and asked for each candidate once
+    trimmed = df.select(*[F.regexp_replace(F.col(f), r"^[\s\[]+|[\s\];,|]+$", "").alias(f"v{i}") for i, f in enumerate(fields)])
+    flags = []
+    for i, f in enumerate(fields):
+        v = F.col(f"v{i}")
         for name in CANDIDATES:
-            others = [n for n in CANDIDATES if n not in (name, "blank")]
-            parts = F.filter(F.transform(F.split(value, _cutter([name], t, tail)), _bare), lambda p: p != "")
-            typed = F.size(F.filter(parts, lambda p: p.rlike(types[t])))
             # the plain search comes first: most values hold one or two of the candidates
-            held = reduce(lambda a, b: a | b, [F.contains(F.col(f), F.lit(x)) for x in SIGNS[name]])
-            fits = held & value.rlike(_cutter([name], t, tail)) & ~value.rlike(_cutter(others, t, tail))
-            tries.append(F.when(fits, F.struct(F.lit(f).alias("field_name"), F.lit(name).alias("name"), F.size(parts).alias("n"), typed.alias("typed"))))
+            held = reduce(lambda a, b: a | b, [F.contains(v, F.lit(x)) for x in SIGNS[name]])
+            flags.append((held & v.rlike(_cutter([name], model.types[f], tail))).alias(f"h{i}#{name}"))
+    asked = trimmed.select("*", *flags)
+    tries = []
+    for i, f in enumerate(fields):
+        t = model.types[f]
+        for name in CANDIDATES:
+            others = [~F.col(f"`h{i}#{n}`") for n in CANDIDATES if n not in (name, "blank")]
+            parts = F.filter(F.transform(F.split(F.col(f"v{i}"), _cutter([name], t, tail)), _bare), lambda p: p != "")
+            sized = text.let(parts, lambda ps: F.struct(F.size(ps).alias("n"), F.size(F.filter(ps, lambda p: p.rlike(types[t]))).alias("typed")))
+            tries.append(F.when(reduce(lambda a, b: a & b, others, F.col(f"`h{i}#{name}`")), F.struct(F.lit(f).alias("field_name"), F.lit(name).alias("name"), sized.alias("s"))))
     scored = []
     if tries:
-        one = df.select(F.explode(F.array_compact(F.array(*tries))).alias("t")).where("t.n > 1").select("t.*")
+        one = asked.select(F.explode(F.array_compact(F.array(*tries))).alias("t")).select("t.field_name", "t.name", "t.s.n", "t.s.typed").where("n > 1")
         # at most fields x candidates rows
         scored = one.groupBy("field_name", "name").agg(F.count("*").alias("rows"), F.sum("typed").alias("typed"), F.sum("n").alias("n"), F.count_if(F.col("typed") == F.col("n")).alias("whole")).collect()
     for r in sorted(scored):

@@ -1,25 +1,55 @@
 """Distribution statistics: exact quantiles, trims, tails, deciles by value edges, histograms, summaries.
 
-Quantiles are exact with linear interpolation; Spark folds equal values map-side, and a column's distinct
-values are what the last task sees. Defined cases: nulls take no part; a table without values gives null
-quantiles and no bins; a column with one value falls into one bin.
+Quantiles are exact with linear interpolation, and no task ever sees all values: equal values are folded, the
+folded ones fall into blocks by value, the sizes of the blocks tell which ones hold the wanted ranks, and only
+those are ordered. Defined cases: nulls take no part; a table without values gives no quantiles and no bins, and
+so keeps no row in a trim or tail; a column with one value falls into one bin; a null key is a group of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLOCKS = 128
+
+
 def quantiles(df: DataFrame, value: str, at: list[float], keys: list[str] = ()) -> DataFrame:
     """(keys, q): one array of quantiles a group."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in at])).alias("q"))
+    keys = list(keys)
+    # nulls are left out of JSON, so that a null key and an empty one differ
+    ident = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    folded = df.where(F.col(value).isNotNull()).groupBy(ident.alias("g"), *[F.col(k).alias(f"k_{k}") for k in keys], F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    # one row of edges; where they are rough, blocks are of unequal size and the result is the same
+    edges = folded.agg(F.percentile_approx("v", F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)]), F.lit(1000)).alias("edges"))
+    laid = folded.join(F.broadcast(edges), how="cross").withColumn("b", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    sizes = laid.groupBy("g", *[f"k_{k}" for k in keys], "b").agg(F.sum("c").alias("s"))
+    w = Window.partitionBy("g")
+    sizes = sizes.withColumn("n", F.sum("s").over(w)).withColumn("before", F.sum("s").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(at)])).alias("w")
+    # of each quantile the two ranks it lies between
+    asked = sizes.select("*", wanted).withColumn("x", F.col("w.p") * (F.col("n") - 1))
+    asked = asked.withColumn("r", F.explode(F.array_distinct(F.array(F.floor("x"), F.ceil("x"))))).where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("s")))
+    met = laid.select("g", "b", "v", "c").join(asked.select("g", "b", "before", "r", *[f"k_{k}" for k in keys], F.col("w.i").alias("i"), "x"), ["g", "b"])
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("g", "b", "i", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hit = met.withColumn("upto", upto).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("c")))
+    share = F.col("x") - F.floor("x")
+    one = hit.groupBy("g", *[f"k_{k}" for k in keys], "i").agg((F.min("v") + (F.max("v") - F.min("v")) * F.max(share)).alias("q"))
+    got = one.groupBy("g", *[f"k_{k}" for k in keys]).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))
+    return got.select(*[F.col(f"k_{k}").alias(k) for k in keys], "q")
 
 
 def trim(df: DataFrame, value: str, low: float, high: float, keys: list[str] = ()) -> DataFrame:
     """Rows between two quantiles of their group, bounds included."""
     q = quantiles(df, value, [low, high], list(keys))
-    one = df.join(q, list(keys)) if keys else df.join(F.broadcast(q), how="cross")  # without keys q has one row
+    if keys:
+        q = q.select(*[F.col(k).alias(f"__{k}") for k in keys], "q")
+        one = df.join(q, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])).drop(*[f"__{k}" for k in keys])
+    else:
+        one = df.join(F.broadcast(q), how="cross")  # one row
     return one.where(F.col(value).between(F.col("q")[0], F.col("q")[1])).drop("q")
 
 
@@ -59,9 +89,11 @@ def value_counts(df: DataFrame, value: str) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """(n, mean, std, least, q25, q50, q75, most) of a column, in one pass over it."""
+    """(n, mean, std, least, q25, q50, q75, most) of a column."""
     v = F.col(value)
-    one = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(v).alias("most"))
+    one = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+    # both sides have one row
+    one = one.join(F.broadcast(quantiles(df, value, [0.25, 0.5, 0.75])), how="left", on=F.lit(True))
     return one.select("n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
 
 

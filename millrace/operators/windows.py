@@ -31,13 +31,29 @@ def best_value(df: DataFrame, keys: list[str], value: Column, *metric: Column) -
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*metric)).alias("value"))
 
 
-def thinned(df: DataFrame, keys: list[str], most: int, *order: Column) -> DataFrame:
-    """Up to `most` rows of each group at even steps of its order, the first among them."""
-    w = Window.partitionBy(*keys)
-    one = _ranked(df, keys, list(order)).withColumn("__n", F.count("*").over(w))
-    step = F.greatest(F.lit(1), F.floor(F.col("__n") / most))
-    at = F.col(RANK) - 1
-    return one.where((at % step == 0) & (at / step < most)).drop(RANK, "__n")
+def ranked_in_blocks(df: DataFrame, keys: list[str], block: Column, *order: Column) -> DataFrame:
+    """`df` with `rank` and group size `n`, each block of a group ranked by its own task: a hot group is no hot task.
+
+    block: a value that grows with the order, as the day of a timestamp. The sizes of the blocks are summed over
+    one row a block.
+    """
+    one = df.withColumn("__b", block)
+    inner = one.withColumn(RANK, F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)))
+    sizes = one.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__bb")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*[f"__{k}" for k in keys])
+    sizes = sizes.withColumn("n", F.sum("__c").over(w)).withColumn("__before", F.sum("__c").over(w.orderBy("__bb").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c"))
+    on = F.col("__b").eqNullSafe(F.col("__bb"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return inner.join(sizes, on).select(*df.columns, (F.col(RANK) + F.col("__before")).alias("rank"), "n")
+
+
+def thinned(df: DataFrame, keys: list[str], most: int, *order: Column, block: Column | None = None) -> DataFrame:
+    """Up to `most` rows of each group at even steps of its order, the first among them; with a block, hot groups are ranked in parts."""
+    one = ranked_in_blocks(df, keys, block if block is not None else F.lit(0), *order)
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / most))
+    at = F.col("rank") - 1
+    return one.where((at % step == 0) & (at / step < most)).drop("rank", "n")
 
 
 def carried(df: DataFrame, keys: list[str], order: list[Column], **states: Column) -> DataFrame:
@@ -62,10 +78,14 @@ def carried_in_blocks(df: DataFrame, order: str, block: Column, **states: Column
     return out.select(*df.columns, *[F.coalesce(n, f"__{n}").alias(n) for n in states])
 
 
-def first_seen_list(value: Column, *order: Column) -> Column:
-    """Aggregate: distinct non-null values in order of first appearance."""
-    seen = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v")))))
-    return F.array_distinct(F.transform(seen, lambda x: x["v"]))
+def first_seen_list(df: DataFrame, keys: list[str], value: str, order: str, name: str, separator: str = "; ") -> DataFrame:
+    """(keys, name): the distinct non-null values of each group in order of first appearance, joined.
+
+    Values are folded to their first appearance before they are listed, so a group lists its distinct values and not its rows.
+    """
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("__o"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__o", F.col(value).alias("v")))), lambda x: x["v"])
+    return first.groupBy(*keys).agg(F.array_join(listed, separator).alias(name))
 
 
 def ordered_concat(value: Column, separator: str, *order: Column) -> Column:

@@ -27,7 +27,6 @@ def entity_period_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = orders.select(F.col("o_custkey").alias("entity"), half_year(F.col("o_orderdate")).alias("period"), "o_orderkey", F.expr("nullif(o_orderstatus, 'O')").alias("partner"), "o_orderpriority", "o_totalprice")
     has = F.col("partner").isNotNull()
     flag = lambda c: F.coalesce(F.max(F.when(c, 1).otherwise(0)), F.lit(0))
-    seen = F.array_sort(F.collect_list(F.when(has, F.struct("o_orderkey", "partner"))))
     by_category = []
     for name, value in CATEGORIES.items():
         inside = F.col("o_orderpriority") == value
@@ -37,12 +36,12 @@ def entity_period_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n_activities"),
         F.count("partner").alias("n_with_partner"),
         F.count_distinct("partner").alias("n_partners"),
-        F.array_join(F.array_distinct(F.transform(seen, lambda x: x["partner"])), "; ").alias("partners"),
         flag(has).alias("has_partner"),
         *by_category,
     )
     birth = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("birth_category")).distinct()
-    return panel.join(birth, "entity", "left")
+    named = windows.first_seen_list(one, ["entity", "period"], "partner", "o_orderkey", "partners")
+    return panel.join(named, ["entity", "period"], "left").withColumn("partners", F.coalesce("partners", F.lit(""))).join(birth, "entity", "left")
 
 
 def _panel_sql() -> str:
@@ -101,10 +100,11 @@ def firm_period_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         inside = F.col("product_broad_category") == value
         by_category += [flag(inside).alias(f"has_{name}"), flag(inside & has).alias(f"has_{name}_partner"), F.round(F.avg(F.when(inside, F.col("rate"))), 6).alias(f"avg_rate_{name}")]
     panel = one.groupBy("company", "period").agg(
-        F.count("*").alias("n_activities"), F.count("partner").alias("n_with_partner"), F.count_distinct("partner").alias("n_partners"), F.array_join(windows.first_seen_list(F.col("partner"), F.col("extract_id")), "; ").alias("partners"), *by_category
+        F.count("*").alias("n_activities"), F.count("partner").alias("n_with_partner"), F.count_distinct("partner").alias("n_partners"), *by_category
     )
     birth = table(spark, sf_dir, "fintech_timelines_master").where("entry_type = 'Product'").groupBy(F.col("company_name").alias("company")).agg(F.min_by("product_category", F.when(F.col("product_category").isNotNull(), F.col("row_id"))).alias("birth_category"))
-    return panel.join(birth, "company", "left")
+    named = windows.first_seen_list(one, ["company", "period"], "partner", "extract_id", "partners")
+    return panel.join(named, ["company", "period"], "left").withColumn("partners", F.coalesce("partners", F.lit(""))).join(birth, "company", "left")
 
 
 def partner_period_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,8 @@ def partner_period_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, value in BROAD.items():
         rate = F.when(F.col("product_broad_category") == value, F.col("rate"))
         by_category += [F.count_distinct(F.when(F.col("product_broad_category") == value, F.col("company"))).alias(f"n_firms_{name}"), F.round(F.avg(rate), 6).alias(f"avg_rate_{name}"), F.round(F.stddev_samp(rate), 4).alias(f"std_rate_{name}")]
-    return one.groupBy("bank_name", "period").agg(F.count_distinct("company").alias("n_firms"), F.array_join(windows.first_seen_list(F.col("company"), F.col("extract_id")), "; ").alias("firms"), *by_category)
+    named = windows.first_seen_list(one, ["bank_name", "period"], "company", "extract_id", "firms")
+    return one.groupBy("bank_name", "period").agg(F.count_distinct("company").alias("n_firms"), *by_category).join(named, ["bank_name", "period"])
 
 
 ACTIVITY = r"""act as (

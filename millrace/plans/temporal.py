@@ -54,7 +54,7 @@ select user_id, event_id from r where i % step = 0 and i // step < 10
 """)
 def evenly_spaced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to ten events of every user at even steps."""
-    return windows.thinned(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], 10, F.col("ts"), F.col("event_id")).select("user_id", "event_id")
+    return windows.thinned(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], 10, F.col("ts"), F.col("event_id"), block=F.to_date("ts")).select("user_id", "event_id")
 
 
 def _targets(spark: SparkSession, sf_dir: str, axis: str) -> DataFrame:

@@ -141,11 +141,14 @@ def link_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda c, n: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > n)
     own = table(spark, sf_dir, "fintech_timelines_master").where("entry_type = 'Product' and company_name is not null and product_subcategory is not null and product_category is not null")
     own = own.select("row_id", "company_name", cut("product_subcategory", 2).alias("names"), cut("product_category", 3).alias("topics"))
+    # addresses are scored for each category of a company, of which there are few, and not for each product
+    kinds = own.select("company_name", "names", "topics").distinct()
     raw = url.relevance(F.col("path"), F.col("names"), F.col("topics"), GOOD, BAD)
     low = F.lower("path")
     lasting = F.when(F.contains(low, F.lit("/card")) | F.contains(low, F.lit("/pricing")), F.col("n_years") * 2).otherwise(0)
-    one = own.join(sites, "company_name").withColumn("raw", raw).where("raw > -20").withColumn("score", (F.col("raw") + lasting).cast("long"))
-    return windows.top(one.select("row_id", "target_url", "score"), ["row_id"], 3, F.desc("score"), F.col("target_url"))
+    one = kinds.join(sites, "company_name").withColumn("raw", raw).where("raw > -20").withColumn("score", (F.col("raw") + lasting).cast("long"))
+    best = windows.top(one.select("company_name", "names", "topics", "target_url", "score"), ["company_name", "names", "topics"], 3, F.desc("score"), F.col("target_url"))
+    return own.join(best, ["company_name", "names", "topics"]).select("row_id", "target_url", "score", "rank")
 
 
 @R.query("""

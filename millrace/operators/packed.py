@@ -79,8 +79,8 @@ def fit(df: DataFrame, fields: list[str], types: dict[str, str] = TYPES, tail: s
     first that most values without any candidate delimiter have (a path type: most values end in its
     extension). A delimiter is scored on the values that hold it and no other candidate: the share of their
     pieces that have the item type (regularity) and the share of those values that come out as two or more
-    pieces, all of that type (consistency). It is accepted if both reach their bounds. A field without values
-    keeps no delimiter.
+    pieces, all of that type (consistency). It is accepted if both reach their bounds. One that is seen but never alone is
+    scored in the same way on the pieces that the accepted ones leave. A field without values keeps no delimiter.
     """
     model = DelimiterModel(tail=tail)
     every = "|".join(rx for n, rx in CANDIDATES.items() if n != "blank")
@@ -112,18 +112,43 @@ def fit(df: DataFrame, fields: list[str], types: dict[str, str] = TYPES, tail: s
             others = [~F.col(f"`h{i}#{n}`") for n in CANDIDATES if n not in (name, "blank")]
             parts = F.filter(F.transform(F.split(F.col(f"v{i}"), _cutter([name], t, tail)), _bare), lambda p: p != "")
             sized = text.let(parts, lambda ps: F.struct(F.size(ps).alias("n"), F.size(F.filter(ps, lambda p: p.rlike(types[t]))).alias("typed")))
-            tries.append(F.when(reduce(lambda a, b: a & b, others, F.col(f"`h{i}#{name}`")), F.struct(F.lit(f).alias("field_name"), F.lit(name).alias("name"), sized.alias("s"))))
-    scored = []
-    if tries:
-        one = asked.select(F.explode(F.array_compact(F.array(*tries))).alias("t")).select("t.field_name", "t.name", "t.s.n", "t.s.typed").where("n > 1")
-        # at most fields x candidates rows
-        scored = one.groupBy("field_name", "name").agg(F.count("*").alias("rows"), F.sum("typed").alias("typed"), F.sum("n").alias("n"), F.count_if(F.col("typed") == F.col("n")).alias("whole")).collect()
-    for r in sorted(scored):
+            alone = reduce(lambda a, b: a & b, others, F.lit(True))
+            tries.append(F.when(F.col(f"`h{i}#{name}`"), F.struct(F.lit(f).alias("field_name"), F.lit(name).alias("name"), F.when(alone, sized).alias("s"))))
+    scored = _scored(asked, tries, 2) if tries else []
+    _accept(model, scored, least_regular, least_consistent)
+    # a delimiter that never stands alone is scored on what the accepted ones leave
+    # (blanks that never do are the padding of others)
+    open_ = {(r.field_name, r.name) for r in scored if not r.rows and r.name != "blank"}
+    if open_:
+        tries = []
+        for f, name in sorted(open_):
+            i, t = fields.index(f), model.types[f]
+            if not model.accepted[f] or t == "path":
+                continue
+            pieces = F.split(F.col(f"v{i}"), _cutter(model.accepted[f], t, tail))
+            cut = _cutter([name], t, tail)
+            held = F.filter(pieces, lambda p: p.rlike(cut))
+            parts = F.filter(F.transform(F.flatten(F.transform(held, lambda p: F.split(p, cut))), _bare), lambda p: p != "")
+            sized = text.let(parts, lambda ps: F.struct(F.size(ps).alias("n"), F.size(F.filter(ps, lambda p: p.rlike(types[t]))).alias("typed")))
+            tries.append(F.when(F.col(f"`h{i}#{name}`"), F.struct(F.lit(f).alias("field_name"), F.lit(name).alias("name"), sized.alias("s"))))
+        if tries:
+            _accept(model, _scored(asked, tries, 1), least_regular, least_consistent)
+    return model
+
+
+def _scored(asked: DataFrame, tries: list[Column], least: int) -> list:
+    """At most fields x candidates rows: how often a candidate was seen, and the pieces it made where it made `least` or more."""
+    one = asked.select(F.explode(F.array_compact(F.array(*tries))).alias("t")).select("t.field_name", "t.name", "t.s.n", "t.s.typed")
+    made = F.col("n") >= least
+    return one.groupBy("field_name", "name").agg(F.count_if(made).alias("rows"), F.sum(F.when(made, F.col("typed"))).alias("typed"), F.sum(F.when(made, F.col("n"))).alias("n"), F.count_if(made & (F.col("typed") == F.col("n"))).alias("whole")).collect()
+
+
+def _accept(model: DelimiterModel, scored: list, least_regular: float, least_consistent: float) -> None:
+    for r in sorted(r for r in scored if r.rows):
         regular, consistent = r.typed / r.n, r.whole / r.rows
         model.scores.append((r.field_name, r.name, r.rows, round(regular, 4), round(consistent, 4)))
         if regular >= least_regular and consistent >= least_consistent:
             model.accepted[r.field_name].append(r.name)
-    return model
 
 
 def items(value: Column, model: DelimiterModel, name: str) -> Column:

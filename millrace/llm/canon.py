@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 LIST_MOST, BLOCK = 2_000_000, 50_000
 SPAN = 4  # trigrams that two swapped letters are in; other slips change fewer
 
@@ -217,7 +219,8 @@ def category_entries(rows: list[tuple[str, int, str | None]]) -> list[tuple[str,
 
 def match(values: DataFrame, value_col: str, entries: list[tuple[str, int]], form: Callable[[str], str]) -> DataFrame:
     """(value, canonical_id) for every distinct non-blank value."""
-    distinct = values.where(F.col(value_col).rlike(r"\S")).select(F.col(value_col).alias("value")).distinct()
+    # written once: they are counted, matched and joined back
+    distinct = cut(values.where(F.col(value_col).rlike(r"\S")).select(F.col(value_col).alias("value")).distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -94,7 +95,8 @@ def parser(sep: str, key: str, keep_values: bool):
             if not n:
                 continue
             reason: list[str | None] = [None] * n
-            values: list[list[str] | None] = [None] * n
+            values: list[pa.ListArray] = []
+            valued: list[np.ndarray] = []
             broken = b.column("broken").to_pylist()
             n_cols, key_pos = b.column("n_cols").to_pylist(), b.column("key_pos").to_pylist()
             groups: dict[tuple[int, int], list[int]] = {}
@@ -123,14 +125,22 @@ def parser(sep: str, key: str, keep_values: bool):
                 for i, f in zip(ids, flags):
                     if not f:
                         reason[i] = VALUE
-                if keep_values:
-                    cells = [_bare(got.column(f"c{c}").combine_chunks()).to_pylist() for c in range(count)]
-                    for i, row in zip(ids, zip(*cells)):
-                        values[i] = [v.replace(LF, "\n").replace(CR, "\r") for v in row]
+                if keep_values and got.num_rows:
+                    # columns laid end to end, then turned into one list a record
+                    flat = pa.concat_arrays([_bare(got.column(f"c{c}").combine_chunks()) for c in range(count)])
+                    flat = pc.take(flat, pa.array(np.arange(count * got.num_rows).reshape(count, -1).T.ravel()))
+                    flat = pc.replace_substring(pc.replace_substring(flat, LF, "\n"), CR, "\r")
+                    values.append(pa.ListArray.from_arrays(pa.array(np.arange(got.num_rows + 1) * count, pa.int32()), flat))
+                    valued.append(got.column("#id").to_numpy())
             cols = [b.column(c) for c in ("record_id", "file_name")] + [pa.array(reason, pa.string())]
             out = ["record_id", "file_name", "reason"]
             if keep_values:
-                cols += [b.column("names"), pa.array(values, pa.list_(pa.string()))]
+                held = pa.nulls(n, pa.list_(pa.string()))
+                if values:
+                    place = np.full(n, -1)
+                    place[np.concatenate(valued)] = np.arange(sum(map(len, valued)))
+                    held = pc.take(pa.concat_arrays(values), pa.array(place, mask=place < 0))
+                cols += [b.column("names"), held]
                 out += ["names", "values"]
             yield pa.RecordBatch.from_arrays(cols, names=out)
 

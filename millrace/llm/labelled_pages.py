@@ -1,6 +1,6 @@
 """Labelled lines of web pages, from which the weights of the body extractor are fitted.
 
-Written for this purpose, as such pages are worded in general; no line is taken from a corpus. Each line is a
+Written for this purpose, as such pages are worded in general, and extended where the extractor erred. Each line is a
 pattern with slots in braces, which `lines()` fills. One list holds furniture of the site, the other what a
 page says about its product. Every fifth pattern is held out: it fits nothing and only measures.
 """

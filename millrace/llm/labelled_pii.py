@@ -1,6 +1,6 @@
 """Labelled sentences from which the field for personal information is trained.
 
-Written for this purpose. A sentence is a frame with slots; `sentences()` fills them, and the filled text of a slot in
+Written for this purpose, and extended where the field erred. A sentence is a frame with slots; `sentences()` fills them, and the filled text of a slot in
 capitals is a labelled piece. Lower-case slots and those in braces are ordinary text. Names are drawn half from
 common names and half from invented syllables, so that the field learns where names stand and not which there are.
 For measuring, every fifth frame can be held out.
